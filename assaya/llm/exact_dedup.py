@@ -27,6 +27,8 @@ from assaya.llm.common import ascii_lower, join_groups, read_table, written
 
 #: Digests that one filter holds at most, on average.
 SHARD_KEYS = 50_000
+#: Repeated digests that are broadcast at most: 32 MB.
+BROADCAST_KEYS = 2_000_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -159,6 +161,19 @@ class Snapshot:
         return _with_shard(batch, self.shards).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(test, "digest binary, top_id long, n long")
 
 
+def _only_repeated(hashed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``hashed`` whose digest is one of ``groups``.
+
+    Up to BROADCAST_KEYS groups, 64 bits of each digest are broadcast (16 bytes a
+    key), so texts that have no copy are never shuffled; a row too many does no
+    harm, as texts are compared next. Beyond that, rows are dealt out by digest.
+    """
+    if groups.count() > BROADCAST_KEYS:
+        return hashed.join(groups.select("digest"), "digest", "left_semi")
+    keys = groups.select(F.xxhash64("digest").alias("key")).distinct()
+    return hashed.withColumn("key", F.xxhash64("digest")).join(F.broadcast(keys), "key", "left_semi").drop("key")
+
+
 def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (and of ``snapshot``): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -191,7 +206,7 @@ def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFrame
     # The byte check: whole texts of one digest, grouped by their bytes. Equal texts combine before the shuffle.
     body = ascii_lower(F.coalesce(texts["text"].cast("string"), F.lit("")))
     hashed = texts.select("doc_id", body.alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    repeated = join_groups(hashed, groups.select("digest", F.col("n").alias("held")), ["digest"], "held", total, "inner")
+    repeated = _only_repeated(hashed, groups)
     classes = repeated.groupBy("digest", "body").agg(F.max("doc_id").alias("top_id"), F.count(F.lit(1)).alias("n"))
     checked = written(classes.select("digest", "top_id", "n", F.md5("body").alias("mark")), "exact-classes")
     clashing = checked.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("digest")
