@@ -17,7 +17,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,12 +37,20 @@ from assaya.llm.common import read_table, written
 CAPACITY, STEP, END_ID = 4096, 32, 2
 GROUP_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-MEMO_WORDS = 250_000
+#: Entries of each of a worker's two memos, about 120 MB each, before they are emptied.
+MEMO_WORDS = 600_000
+#: Fixed marks, none of them a letter, a digit, white space or the apostrophe.
+MARKS = ".,;:!?%$#&*()-"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids of whole texts by the words between ASCII white space, which this vocabulary drops; each word is encoded once."""
+    """Ids of whole texts by the words between ASCII white space, which this vocabulary drops.
+
+    Words of letters and then common marks fall into two pieces there; pieces
+    that are new are encoded many in one text and told apart by their last
+    tokens, which carry the vocabulary's end-of-word suffix.
+    """
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,25 +58,60 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, memo = text.encode().split(), self.memo
-        missing = set(words).difference(memo)
-        if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = set(words)
-            missing = list(missing)
-            for k in range(0, len(missing), 1000):
-                some = missing[k : k + 1000]
-                for word, got in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                    memo[word] = np.array(got.ids, "<u4").tobytes()
-        ids = b"".join(map(memo.__getitem__, words))
-        if len(memo) > 2 * MEMO_WORDS:
+        suffix = json.loads(data)["model"].get("end_of_word_suffix") or "\0"
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def cut(word: str) -> list[str] | None:
+        """The pieces of a word, None if it takes the tokenizer's own rules to tell."""
+        stem = word.rstrip(MARKS)
+        tail = [word[len(stem) :]] if len(stem) < len(word) else []
+        if not stem:
+            return tail
+        if stem.isascii():
+            return [stem.lower(), *tail] if stem.isalpha() else None
+        if not stem.isalpha():
+            return None
+        # What isn't a letter once it is composed and lower-cased would go with the marks; up to U+017F that is U+0130 alone.
+        plain = max(stem) <= "\u017f" and "\u0130" not in stem
+        return [stem, *tail] if plain or unicodedata.normalize("NFC", stem).lower().isalpha() else None
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 2000):
+            some = pieces[k : k + 2000]
+            raw = self.one(" ".join(some))
+            ends = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) * 4 + 4
+            if len(ends) == len(some):
+                stops = ends.tolist()
+                self.pieces.update((x, raw[a:b]) for x, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
+            else:
+                self.pieces.update((x, self.one(x)) for x in some)
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [x.encode().split() for x in texts]
+        words, memo = set().union(*split), self.words
+        missing = words.difference(memo)
+        if len(memo) + len(missing) > MEMO_WORDS:
             memo.clear()
-        return ids
+            missing = words
+        parts = {w: self.cut(w.decode()) for w in missing}
+        new = {p for own in parts.values() if own for p in own}.difference(self.pieces)
+        if len(self.pieces) + len(new) > MEMO_WORDS:
+            self.pieces.clear()
+            new = {p for own in parts.values() if own for p in own}
+        self.learn(list(new))
+        for w, own in parts.items():
+            memo[w] = self.one(w.decode()) if own is None else self.pieces[own[0]] if len(own) == 1 else b"".join([self.pieces[p] for p in own])
+        for own in split:
+            yield b"".join(map(memo.__getitem__, own))
 
 
 @lru_cache(maxsize=1)
@@ -117,10 +163,12 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         tokens, seen = _word_tokens(model.value), 0
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
+        gc.disable()  # nothing here makes cycles, and passes over the memos are slow
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokens.ids(text.as_py() or "") + end
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.batch(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
