@@ -34,7 +34,7 @@ from assaya.llm.common import read_table, written
 K, QUERY_EVERY = 10, 100
 SAMPLE_VECTORS, MOST_LISTS = 20_000, 1024
 #: Share of the lists that a query probes: evenly spread vectors need many.
-PROBE_SHARE = 0.5
+PROBE_SHARE = 0.6
 BLOCK, EPSILON = 16, 2.1
 CHUNK_ROWS = 20_000
 SEED = 7
