@@ -124,3 +124,41 @@ def copy_severity(m: Column, c: Column, k: Column, h: Column) -> Column:
         .when(h > 0, F.least(0.3 + 0.05 * h, F.lit(0.6)))
         .otherwise(F.lit(0.2))
     )
+
+
+def image_tokens(width: Column, height: Column) -> Column:
+    """Tokens of an image (A38): the long side at most 2048, then the short one at most 768, then tiles of 512 at 170 each, and 85."""
+
+    def fit(w: Column, h: Column, side: Column, limit: int) -> tuple[Column, Column]:
+        scale = F.lit(float(limit)) / side
+        return tuple(F.when(side > limit, (x * scale).cast("long")).otherwise(x.cast("long")) for x in (w, h))
+
+    w, h = fit(width, height, F.greatest(width, height), 2048)
+    w, h = fit(w, h, F.least(w, h), 768)
+    return F.ceil(w / 512) * F.ceil(h / 512) * 170 + 85
+
+
+def classifier_label(text: Column) -> Column:
+    """X16."""
+    return F.when(F.contains(text, F.lit("BADUML")), "BADUML").when(F.contains(text, F.lit("GOODUML")), "GOODUML").otherwise("UNKNOWN")
+
+
+def document_type(mimetype: Column) -> Column:
+    """Null for what is neither."""
+    return F.when(F.contains(mimetype, F.lit("pdf")), "pdf").when(F.contains(mimetype, F.lit("markdown")), "md")
+
+
+def typeset_severity(hits: Column, words: Column) -> Column:
+    """Hits for each hundred words, within 0.1 and 1."""
+    return F.least(F.greatest(F.round(F.try_divide(hits, words) * 100, 3), F.lit(0.1)), F.lit(1.0))
+
+
+def kept_snippet(snippet: Column, item: Column) -> Column:
+    """A model's snippet where the item holds it word for word, else the item's text."""
+    return F.when(F.contains(item, snippet), snippet).otherwise(item)
+
+
+def upper_left_box(left: Column, top: Column, right: Column, bottom: Column, page_height: Column, from_bottom: Column) -> Column:
+    """x, y, w and h from the upper left corner, for boxes measured from either end of a page."""
+    y = F.when(from_bottom, page_height - F.greatest(top, bottom)).otherwise(F.least(top, bottom))
+    return F.struct(F.least(left, right).alias("x"), y.alias("y"), F.abs(right - left).alias("w"), F.abs(bottom - top).alias("h"))

@@ -74,3 +74,17 @@ def quartiles(df: DataFrame, column: str) -> DataFrame:
     edges = df.select(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     x = F.col(column)
     return df.join(F.broadcast(edges), F.lit(True)).withColumn("quartile", F.when(x <= F.col("q")[0], 1).when(x <= F.col("q")[1], 2).when(x <= F.col("q")[2], 3).otherwise(4)).drop("q")
+
+
+def first_in_order(df: DataFrame, score: str, key: str, wanted: DataFrame) -> DataFrame:
+    """As many rows as the one row of ``wanted`` says, by score downwards and then by key (K9).
+
+    Rows of equal whole scores are counted first, so that places are given within such a group; only the
+    sums of groups are ordered in one task, and groups beyond the last place are left out before.
+    """
+    rows = df.withColumn("__part", F.floor(F.coalesce(F.col(score), F.lit(float("-inf")))).cast("double"))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("__part", (F.sum("size").over(Window.orderBy(F.desc("__part"))) - F.col("size")).alias("before"))
+    open_parts = before.join(F.broadcast(wanted), F.col("before") < F.col("wanted"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc(score), key)) + F.col("before")
+    return rows.join(open_parts, "__part").withColumn("__at", at).filter(F.col("__at") <= F.col("wanted")).drop("__part", "before", "wanted", "__at")

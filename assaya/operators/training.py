@@ -14,12 +14,18 @@ def dedup_by_content(rows: DataFrame, content: str, order: list[Column]) -> Data
 
 
 def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.8, valid: float = 0.2) -> DataFrame:
-    """Each group to train, valid or test by its place in the order of a salted hash (W13): cuts at whole numbers."""
-    hashed = groups.select(key).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    at = F.row_number().over(Window.orderBy("h", key)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    cut_1, cut_2 = F.floor(n * train), F.floor(n * (train + valid))
-    return hashed.withColumns({"at": at, "n": n}).select(key, F.when(F.col("at") < cut_1, "train").when(F.col("at") < cut_2, "valid").otherwise("test").alias("split"))
+    """Each group to train, valid or test by its place in the order of a salted hash (W13): cuts at whole numbers.
+
+    Places are counted within the 4096 first parts of a hash; only the counts of these parts are added up in one task.
+    """
+    hashed = groups.select(key).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("part", F.substring("h", 1, 3))
+    sizes = hashed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    whole = Window.orderBy("part")
+    before = sizes.select("part", (F.sum("size").over(whole) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("n"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("h", key)) - 1 + F.col("before")
+    placed = hashed.join(F.broadcast(before), "part").withColumn("at", at)
+    cut_1, cut_2 = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + valid))
+    return placed.select(key, F.when(F.col("at") < cut_1, "train").when(F.col("at") < cut_2, "valid").otherwise("test").alias("split"))
 
 
 def unique_names(rows: DataFrame, folder: str, name: str, order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from assaya.operators import analytics as A
 from assaya.operators import findings as O
 from assaya.operators import text as T
 from assaya.operators import training as R
-from assaya.queries.core import _CODES, F_SQL, IMPACT_SQL, RULES_SQL, found, q13_set_agreement, q14_stage_survival, query, rules, table
+from assaya.queries.core import _CODES, F_SQL, IMPACT_SQL, RULES_SQL, UNIT_SQL, found, q13_set_agreement, q14_stage_survival, query, rules, table, user_hours
 from assaya.sources import files
 
 
@@ -64,19 +64,19 @@ def q35_top_evidence(spark, d):
     return A.top_by(similarities(spark, d), ["label"], [F.desc("sim"), F.col("vec_id"), F.col("sid")], 5).select("label", "rank", "vec_id", "sid", "sim")
 
 
-@query("""WITH p AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 20 = 0), n AS (SELECT count(DISTINCT user_id) AS n FROM p), s AS (SELECT event_type, count(*) AS c FROM p GROUP BY 1),
-b AS (SELECT x.event_type AS code_a, y.event_type AS code_b, count(*) AS "both" FROM p x JOIN p y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1, 2)
+@query(f"""WITH p AS (SELECT DISTINCT {UNIT_SQL} AS unit, event_type FROM events), n AS (SELECT count(DISTINCT unit) AS n FROM p), s AS (SELECT event_type, count(*) AS c FROM p GROUP BY 1),
+b AS (SELECT x.event_type AS code_a, y.event_type AS code_b, count(*) AS "both" FROM p x JOIN p y ON x.unit = y.unit AND x.event_type < y.event_type GROUP BY 1, 2)
 SELECT code_a, code_b, "both", round((n * "both" - a.c * q.c::DOUBLE) / nullif(sqrt(a.c::DOUBLE * q.c * (n - a.c) * (n - q.c)), 0), 6) AS phi FROM b JOIN s a ON code_a = a.event_type JOIN s q ON code_b = q.event_type, n""")
 def q36_cooccurrence(spark, d):
-    return A.phi(table(spark, d, "events").filter("event_id % 20 = 0"), "user_id", "event_type")
+    return A.phi(user_hours(spark, d), "unit", "event_type")
 
 
-@query("""WITH t AS (SELECT user_id, sum(value) AS total FROM events GROUP BY 1), c AS (SELECT DISTINCT event_type AS code FROM events), p AS (SELECT DISTINCT user_id, event_type AS code FROM events WHERE event_id % 20 = 0),
-x AS (SELECT code, total, (p.user_id IS NOT NULL)::INT::DOUBLE AS has FROM t CROSS JOIN c LEFT JOIN p USING (user_id, code))
+@query(f"""WITH t AS (SELECT {UNIT_SQL} AS unit, sum(value) AS total FROM events GROUP BY 1), c AS (SELECT DISTINCT event_type AS code FROM events), p AS (SELECT DISTINCT {UNIT_SQL} AS unit, event_type AS code, 1 AS found FROM events),
+x AS (SELECT code, total, (p.found IS NOT NULL)::INT::DOUBLE AS has FROM t CROSS JOIN c LEFT JOIN p USING (unit, code))
 SELECT code, round(CASE WHEN var_pop(has) > 0 THEN covar_pop(has, total) / (stddev_pop(has) * stddev_pop(total)) END, 6) AS r FROM x GROUP BY 1""")
 def q37_presence_corr(spark, d):
-    e = table(spark, d, "events")
-    per_user = e.groupBy("user_id").agg(F.sum("value").alias("total"), F.collect_set(F.when(F.col("event_id") % 20 == 0, F.col("event_type"))).alias("codes"))
+    e = user_hours(spark, d)
+    per_user = e.groupBy("unit").agg(F.sum("value").alias("total"), F.collect_set("event_type").alias("codes"))
     names = F.broadcast(e.agg(F.collect_set("event_type").alias("every")))
     x = per_user.join(names, F.lit(True)).select("total", "codes", F.explode("every").alias("code")).withColumn("has", F.array_contains("codes", F.col("code")).cast("double"))
     return x.groupBy("code").agg(F.round(A.safe_corr("has", "total"), 6).alias("r"))
