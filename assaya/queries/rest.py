@@ -9,7 +9,7 @@ from assaya.functions import columns as C
 from assaya.operators import analytics as A
 from assaya.operators import findings as O
 from assaya.operators import rules as U
-from assaya.queries.core import _CODES, _DECISION, F_SQL, IMPACT_SQL, RULES_SQL, UNIT_SQL, found, half_sets, q13_set_agreement, query, rules, table, user_hours
+from assaya.queries.core import _CODES, _DECISION, F_SQL, IMPACT_SQL, RULES_SQL, UNIT_SQL, found, q13_set_agreement, query, rules, table, user_hours
 
 
 def count():
@@ -80,10 +80,10 @@ def q70_point_stats(spark, d):
 
 
 @query(f"""WITH {RULES_SQL}, {F_SQL}, s AS (SELECT user_id, event_type, {IMPACT_SQL} AS impact FROM f LEFT JOIN rules ON event_type = ac_code WHERE event_id % 5 <> 2)
-SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS codes, round(sum(impact), 3) AS total, round(400.0 + coalesce(sum(impact), 0), 1) AS estimate FROM s GROUP BY 1""")
+SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS codes, round(sum(impact), 4) AS total, round(400.0 + coalesce(sum(impact), 0), 4) AS estimate FROM s GROUP BY 1""")
 def q71_tool_totals(spark, d):
     s = O.score(found(spark, d).withColumn("judge_status", F.expr(_DECISION)).filter("judge_status IS NULL OR judge_status <> 'dismissed'"), rules(spark), "event_type", F.lit(400.0))
-    return s.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("codes"), F.round(F.sum("impact"), 3).alias("total"), F.round(F.lit(400.0) + F.coalesce(F.sum("impact"), F.lit(0.0)), 1).alias("estimate"))
+    return s.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("codes"), F.round(F.sum("impact"), 4).alias("total"), F.round(F.lit(400.0) + F.coalesce(F.sum("impact"), F.lit(0.0)), 4).alias("estimate"))
 
 
 @query("""SELECT CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END::INT AS mode_order, l_shipmode AS mode, count(*) AS n, round(avg(l_quantity), 4) AS mean, round(quantile_cont(l_quantity, 0.5), 4) AS median, round(quantile_cont(l_quantity, 0.95), 4) AS p95
