@@ -130,8 +130,8 @@ def train(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     return Model(langs, np.log(table / table.sum(0)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` named in ``keep`` (doc_id and text if None), lang_pred and score; only text is looked at."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``docs`` named in ``keep`` (doc_id if None), then the language and its score under ``names``; only text is looked at."""
     keep = keep if keep is not None else ["doc_id"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.langs, model.matrix))  # at most MAX_MODEL_MB
@@ -140,10 +140,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         own = Model(*shared.value) if shared.value else None
         for batch in batches:
             texts = [x or "" for x in batch.column("__text").to_pylist()]
-            names, scores = own.predict(texts) if own and texts else (["und"] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            langs, scores = own.predict(texts) if own and texts else (["und"] * len(texts), [0.0] * len(texts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, docs["text"].cast("string").alias("__text")).mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -4,15 +4,17 @@ Each stage reads what the one before it kept, as a written table, and its decisi
 takes effect: documents without a language go, of equal texts the one with the
 largest doc_id stays, of near copies the one with the smallest doc_id, secrets are
 masked, and what is left is packed into sequences. All but the last stage return
-the columns of documents. Rows that repeat a doc_id are told apart by their text.
+the columns of documents, further ones included. Rows that repeat a doc_id are told
+apart by their text among exact copies; among near copies all rows of a doc_id stay
+if one of them does. A row without a doc_id stays unless it is a copy of one with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaya.llm.common import read_table, small_batches, written
+from assaya.llm.common import ascii_lower, read_table, small_batches, written
 from assaya.llm.exact_dedup import exact_dedup
 from assaya.llm.language_id import held_out, predict, train
 from assaya.llm.packing import pack
@@ -27,22 +29,28 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language."""
     small_batches(spark)
     model = train(docs.filter(~held_out(docs["doc_id"])))
-    judged = predict(docs, model, docs.columns)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
+    return judged.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def only(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are among the rows of ``kept``; nulls are equal."""
+    named = kept.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = [x.eqNullSafe(F.col(f"__{k}")) for k, x in keys.items()]
+    return docs.join(named, same, "left_semi")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the largest doc_id of equal texts."""
     small_batches(spark)
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    return only(docs, exact_dedup(docs).filter("kept"), {"doc_id": docs["doc_id"], "text_sha256": digest})
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies."""
     small_batches(spark)
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return only(docs, near_duplicates(docs).filter("doc_id <=> component_id"), {"doc_id": docs["doc_id"]})
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

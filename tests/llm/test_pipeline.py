@@ -48,10 +48,12 @@ def test_run(spark):
 
 def test_run_on_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5), (5, "the house of the sea", "en", "s", 20), (8, "The House of the sea", "en", None, None), (None, "la maison de la mer", "fr", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(*r, 0.5, "x") for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, digest string")
     for _, f in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(f(spark, docs, SF).collect(), docs.schema)
-    assert {r.doc_id for r in docs.collect()} <= {8, None}
+    assert {r.doc_id for r in docs.collect()} == {8, None}
+    assert {(r.score, r.digest) for r in docs.collect()} == {(0.5, "x")}
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), SF).count() == 0
     assert zlib.crc32(b"5") and language_id.BITS
