@@ -1,5 +1,6 @@
 """Golden values and fixtures of the assessment domain; sources, sinks and the incremental run."""
 
+import hashlib
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from assaya import fixed_values as V
 from assaya.functions import columns as C
 from assaya.functions.spans import parse_comment
+from assaya.operators import analytics as A
 from assaya.operators import findings as O
 from assaya.operators import text as T
 from assaya.operators import training as R
@@ -116,3 +118,44 @@ def test_incremental(spark, tmp_path):
 
     assert [step(0), step(3)] == [3, 6]
     assert len(V.DOC_CODES) == 40
+
+
+def test_rule_overrides_on_nulls(spark):
+    from assaya.operators import rules as U
+
+    rows = spark.createDataFrame([(1, None, "CH"), (1, "cs", "CH"), (1, None, "STYLE"), (2, "en", "CH"), (2, "en", "SPELLING"), (3, "en", "CH")], "config_id int, language string, ac_code string")
+    assert sorted((r.config_id, r.language or "", r.ac_code) for r in U.content_rules(rows).collect()) == [(1, "", "STYLE"), (1, "cs", "CH")]
+    assert sorted((r.config_id, r.ac_code) for r in U.grammar_rules(rows, "config_id").collect()) == [(2, "SPELLING"), (3, "CH")]
+    copies = spark.createDataFrame([("COPY", "local"), ("COPY", None), ("STYLE", "local")], "ac_code string, engine string")
+    assert U.integrity_rules(copies, F.col("engine")).count() == 2
+    assert U.known_codes(copies, spark.createDataFrame([("COPY",), ("COPY",)], "ac_code string"), "ac_code").count() == 2
+
+
+def test_first_in_order_over_ties_and_nulls(spark):
+    rows = [(k, None if k % 9 == 0 else float(k % 4) / 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, score double")
+    order = [k for k, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    for wanted in (0, 1, 7, 52, 100):
+        one = spark.createDataFrame([(wanted,)], "wanted long")
+        assert {r.id for r in A.first_in_order(df, "score", "id", one).collect()} == set(order[:wanted])
+
+
+def test_split_cuts_at_whole_numbers(spark):
+    ids = [str(k) for k in range(57)]
+    got = {r.id: r.split for r in R.group_split(spark.createDataFrame([(k,) for k in ids * 2], "id string"), "id", "s", 0.8, 0.1).collect()}
+    order = sorted(ids, key=lambda k: (hashlib.md5(("s" + k).encode()).hexdigest(), k))
+    assert [got[k] for k in order] == ["train"] * 45 + ["valid"] * 6 + ["test"] * 6
+
+
+def test_image_tokens_and_boxes(spark):
+    sizes = [(100, 100), (512, 513), (1024, 1024), (4096, 1000), (3000, 3000)]
+
+    def tokens(w, h):
+        for side, limit in ((max, 2048), (min, 768)):
+            if side(w, h) > limit:
+                scale = limit / side(w, h)
+                w, h = int(w * scale), int(h * scale)
+        return -(-w // 512) * -(-h // 512) * 170 + 85
+
+    df = spark.createDataFrame(sizes, "w int, h int")
+    assert {(r.w, r.h): r.t for r in df.select("w", "h", C.image_tokens(F.col("w"), F.col("h")).alias("t")).collect()} == {(w, h): tokens(w, h) for w, h in sizes}
