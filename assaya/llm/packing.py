@@ -20,6 +20,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +39,25 @@ from assaya.llm.common import read_table, written
 CAPACITY, STEP, END_ID = 4096, 32, 2
 GROUP_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-#: Entries of each of a worker's two memos, about 120 MB each, before they are emptied.
-MEMO_WORDS = 600_000
+#: Entries of each of a worker's two memos, about 110 MB each, before the newer replaces the older.
+MEMO_WORDS = 500_000
+#: Bytes of rows that are tokenized together, so that a word is looked up once for them.
+BATCH_BYTES = 8 << 20
 #: Fixed marks, none of them a letter, a digit, white space or the apostrophe.
 MARKS = ".,;:!?%$#&*()-"
+ONLY_MARKS = frozenset(MARKS)
+#: A letter up to U+017F, U+0130 aside, marks, and the word's end.
+MARKS_AT_END = "([A-Za-zÀ-ÖØ-öø-įı-ſ])([" + re.escape(MARKS) + r"]+)([ \t-\r]|$)"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens:
     """Ids of whole texts by the words between ASCII white space, which this vocabulary drops.
 
-    Words of letters and then common marks fall into two pieces there; pieces
-    that are new are encoded many in one text and told apart by their last
-    tokens, which carry the vocabulary's end-of-word suffix.
+    Common marks after a letter, at the end of a word, are set apart, as they are
+    pieces of their own there. Distinct words are told by Arrow, and new ones
+    encoded many in one text and told apart by their last tokens, which carry the
+    vocabulary's end-of-word suffix.
     """
 
     def __init__(self, data: bytes):
@@ -62,56 +70,76 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # Ids of words: those of late, and those that were replaced when the memo was full.
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
-    def cut(word: str) -> list[str] | None:
-        """The pieces of a word, None if it takes the tokenizer's own rules to tell."""
-        stem = word.rstrip(MARKS)
-        tail = [word[len(stem) :]] if len(stem) < len(word) else []
-        if not stem:
-            return tail
-        if stem.isascii():
-            return [stem.lower(), *tail] if stem.isalpha() else None
-        if not stem.isalpha():
-            return None
+    def plain(word: str) -> bool:
+        """Whether a word is one piece whatever the tokenizer's rules for digits, marks and contractions."""
+        if not word.isalpha():
+            return bool(word) and ONLY_MARKS.issuperset(word)
         # What isn't a letter once it is composed and lower-cased would go with the marks; up to U+017F that is U+0130 alone.
-        plain = max(stem) <= "\u017f" and "\u0130" not in stem
-        return [stem, *tail] if plain or unicodedata.normalize("NFC", stem).lower().isalpha() else None
-
-    def one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 2000):
-            some = pieces[k : k + 2000]
-            raw = self.one(" ".join(some))
-            ends = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) * 4 + 4
-            if len(ends) == len(some):
-                stops = ends.tolist()
-                self.pieces.update((x, raw[a:b]) for x, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
+        return word.isascii() or (max(word) <= "\u017f" and "\u0130" not in word) or unicodedata.normalize("NFC", word).lower().isalpha()
+
+    def each(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.memo[word] = np.array(got.ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.plain(w)]
+        self.each([w for w in words if not self.plain(w)])
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            raw = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[raw]) * 4 + 4).tolist()
+            if len(stops) == len(some):
+                ids = raw.tobytes()
+                self.memo.update((w, ids[a:b]) for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
             else:
-                self.pieces.update((x, self.one(x)) for x in some)
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [x.encode().split() for x in texts]
-        words, memo = set().union(*split), self.words
-        missing = words.difference(memo)
-        if len(memo) + len(missing) > MEMO_WORDS:
-            memo.clear()
-            missing = words
-        parts = {w: self.cut(w.decode()) for w in missing}
-        new = {p for own in parts.values() if own for p in own}.difference(self.pieces)
-        if len(self.pieces) + len(new) > MEMO_WORDS:
-            self.pieces.clear()
-            new = {p for own in parts.values() if own for p in own}
-        self.learn(list(new))
-        for w, own in parts.items():
-            memo[w] = self.one(w.decode()) if own is None else self.pieces[own[0]] if len(own) == 1 else b"".join([self.pieces[p] for p in own])
-        for own in split:
-            yield b"".join(map(memo.__getitem__, own))
+                self.each(some)
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; none may be null."""
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, MARKS_AT_END, r"\1 \2 "))
+        words = lists.flatten().dictionary_encode()
+        known = words.dictionary
+        known = pc.if_else(pc.string_is_ascii(known), pc.ascii_lower(known), known).to_numpy(zero_copy_only=False).tolist()
+        if len(self.memo) > MEMO_WORDS:
+            self.old, self.memo = self.memo, {}
+        memo, new = self.memo, []
+        for word in dict.fromkeys(known):
+            if word not in memo:
+                ids = self.old.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    memo[word] = ids
+        self.learn(new)
+        parts = [memo[w] for w in known]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, at, which = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size, words.indices.to_numpy()
+        length = size[which]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = flat[np.repeat(at[which] - ends[:-1], length) + np.arange(ends[-1])]
+        stops = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].tolist()
+        for a, b in zip(stops[:-1], stops[1:], strict=True):
+            yield ids[a:b].tobytes()
+
+
+def larger(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``least`` bytes and more, in order."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 @lru_cache(maxsize=1)
@@ -164,9 +192,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         gc.disable()  # nothing here makes cycles, and passes over the memos are slow
-        for batch in batches:
+        pa.set_cpu_count(1)
+        for batch in larger(batches, BATCH_BYTES):
             rows = []
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.batch(texts), strict=True):
                 ids += end
                 n = len(ids) // 4

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,30 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_word_tokens_agree_with_the_tokenizer_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    with open(path, "rb") as f:
+        tokens = packing.WordTokens(f.read())
+    rng = random.Random(5)
+    parts = [*"aBZ.,;:!?%$#&*()-'=<>|/_09 \t\n\v\f\r\x1c\u00a0\u2003éÀßİıſǰΣσ", "J\u030c", "e\u0301", "I\u0307", "\u0301", "\u0338", "\u0345", "'s", "'re", "<|endoftext|>", "</w>", "日本", "\U0001f600", "word", "Word", " the ", "x" * 300]
+    texts = ["", " ", ".", *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(4000))]
+    for k in range(0, len(texts), 500):
+        some = texts[k : k + 500]
+        for text, got in zip(some, tokens.batch(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_larger_batches_keep_all_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(v, pa.int64())}) for v in ([1, 2], [], [3], [4, 5, 6], [])]
+    for least in (0, 1, 20, 1000):
+        assert [x for b in packing.larger(iter(batches), least) for x in b.column(0).to_pylist()] == [1, 2, 3, 4, 5, 6]
+    assert list(packing.larger(iter([]), 5)) == []
+
+
 def test_crc_of_rest():
     data = bytes(range(256)) * 40
     for a, b in ((0, 4), (4, 8), (128, 9000), (1000, 10240)):
