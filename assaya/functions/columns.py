@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assaya import fixed_values as V
 
@@ -162,3 +166,94 @@ def upper_left_box(left: Column, top: Column, right: Column, bottom: Column, pag
     """x, y, w and h from the upper left corner, for boxes measured from either end of a page."""
     y = F.when(from_bottom, page_height - F.greatest(top, bottom)).otherwise(F.least(top, bottom))
     return F.struct(F.least(left, right).alias("x"), y.alias("y"), F.abs(right - left).alias("w"), F.abs(bottom - top).alias("h"))
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
+#: Marks that stand alone in extracted text, the combining ones, and the letters that take each in Czech and Slovak.
+SPACING, COMBINING = "\u02c7\u00b4\u02da\u00a8\u02c6", "\u030c\u0301\u030a\u0308\u0302"
+BEARERS = ("cCdDeEnNrRsStTzZ", "aAeEiIyYoOuUlLrR", "uU", "aA", "oO")
+
+
+def repaired_marks(text: Column) -> Column:
+    """Marks that came out before their letters, put onto them (X10); composed in Arrow batches, as no built-in function does."""
+    x = F.translate(text, "\u0131" + SPACING, "i" + COMBINING)
+    x = F.regexp_replace(x, f"([{COMBINING}])(?U:\\s)+", "$1")
+    for mark, letters in zip(COMBINING, BEARERS, strict=True):
+        x = F.regexp_replace(x, f"({mark})([{letters}])", "$2$1")
+    return _composed(x)
+
+
+#: Names of a program's parts: camel case, with underscores, constants, calls before a letter.
+IDENTIFIER = r"\b(?:[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-zA-Z_][a-zA-Z0-9]*_[a-zA-Z][a-zA-Z0-9]*|[A-Z]{2,}(?:_[A-Z0-9]+)+|[a-z][a-zA-Z0-9_]*\(\))\b"
+
+
+def identifiers(text: Column) -> Column:
+    """X12."""
+    return F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+
+
+def loose_brackets(text: Column) -> Column:
+    """Brackets with a space on their inner side."""
+    return F.regexp_count(text, F.lit(r"\( | \)"))
+
+
+def trailing_space(text: Column) -> Column:
+    """Lines that end in a space, and tabs."""
+    return F.regexp_count(text, F.lit(r"(?m)[ ]+$")) + F.regexp_count(text, F.lit("\t"))
+
+
+def image_uris(text: Column) -> Column:
+    """Sources of Markdown images in order, decoded, with forward slashes (X11); a title after the source is left out."""
+    found = F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"), F.lit(1))
+    # A plus sign is no space in a path.
+    clean = lambda x: F.replace(F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x), F.lit("\\"), F.lit("/"))
+    return F.filter(F.transform(found, clean), lambda x: x != "")
+
+
+def resolved_path(path: Column) -> Column:
+    """A relative path without ., .. and empty parts; null if it leaves its folder."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    none = F.lit(None).cast("array<string>")
+    step = lambda s, x: F.when(x.isin("", "."), s).when(x == "..", F.when(F.size(s) > 0, F.slice(s, 1, F.size(s) - 1)).otherwise(none)).otherwise(F.concat(s, F.array(x)))
+    return F.when(~F.startswith(path, F.lit("/")), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def copy_notes(m: Column, n_flag: Column, c: Column, cov: Column, s: Column, h: Column, ms: Column, k: Column) -> Column:
+    """One note for each signal of overlap that fired (X22), in a fixed order."""
+    said = lambda pattern, *values: F.format_string(pattern, *values)
+    notes = (
+        F.when(m >= 0.95, said("Near-verbatim chunk detected (sim=%.3f)", m)),
+        F.when(c >= 0.25, said("Contamination triggered: %.3f >= 0.25", c)),
+        F.when(h > 0, said("%d hard sentence match(es) (max_sim=%.3f)", h, ms)),
+        F.when((n_flag > 0) & (s >= 2), said("Localised trigger: %d flagged chunk(s) + %d soft sentence(s)", n_flag, s)),
+        F.when(s >= 3, said("Soft-sentence cluster: %d sentence(s) above 0.75", s)),
+        F.when(k > 0, said("%d chunk(s) corroborated by sentence-level evidence", k)),
+        F.when(cov >= 0.24, said("Spec coverage triggered: %.3f >= 0.24", cov)),
+    )
+    return F.array_compact(F.array(*notes))
+
+
+def page_labels(pages: Column) -> Column:
+    """Page numbers as sorted labels, each once; n/a without any."""
+    labels = F.array_join(F.transform(F.array_sort(F.array_distinct(F.array_compact(pages))), lambda p: F.concat(F.lit("p."), p.cast("string"))), ", ")
+    return F.coalesce(F.nullif(labels, F.lit("")), F.lit("n/a"))
+
+
+def model_names(text: Column, names: dict[str, str]) -> Column:
+    """Names of models in a comma list, prettified where known."""
+    return F.array_join(F.transform(F.split(text, r"\s*,\s*"), lambda x: F.coalesce(lookup(names, F.trim(x)), F.trim(x))), ", ")
+
+
+def student_metrics(df: DataFrame) -> DataFrame:
+    """Precision, recall, absolute errors and the pair of models of each student's row."""
+    needs = ["tool_code_count", "gold_code_count", "overlap_count", "points_delta", "points_delta_pct", "generator_models", "judge_models"]
+    if missing := sorted(set(needs) - set(df.columns)):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    number = {n: F.expr(f"try_cast(`{n}` AS double)") for n in needs[:5]}
+    share = lambda of: F.when(number[of] > 0, number["overlap_count"] / number[of])
+    pair = F.concat(F.coalesce("generator_models", F.lit("")), F.lit(" | "), F.coalesce("judge_models", F.lit("")))
+    return df.withColumns({"student_precision": share("tool_code_count"), "student_recall": share("gold_code_count"), "abs_points_delta": F.abs(number["points_delta"]), "abs_points_delta_pct": F.abs(number["points_delta_pct"]), "grader_judge_pair": pair})

@@ -36,7 +36,13 @@ def unique_names(rows: DataFrame, folder: str, name: str, order: list[str]) -> D
 
 
 def audit_results(results: DataFrame) -> DataFrame:
-    """Label and analysis from a batch result's nested JSON; what doesn't parse or isn't a known label is null (X34, SRC14)."""
+    """Label and analysis from a batch result's nested JSON; without a known label both are null (X34, SRC14)."""
     content = F.get_json_object("value", "$.response.body.choices[0].message.content")
-    label = F.upper(F.get_json_object(content, "$.classification"))
-    return results.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.when(label.isin("GOOD", "BAD", "INVALID"), label).alias("label"), F.get_json_object(content, "$.analysis").alias("analysis"))
+    label = F.upper(F.trim(F.get_json_object(content, "$.classification")))
+    known = label.isin("GOODUML", "BADUML", "INVALID")
+    return results.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.when(known, label).alias("label"), F.when(known, F.coalesce(F.trim(F.get_json_object(content, "$.analysis")), F.lit(""))).alias("analysis"))
+
+
+def within_size(files: DataFrame, most: int = 10 * 1024 * 1024) -> DataFrame:
+    """Images that a training request may hold (E11); ``length`` is what a listing gives, so no content is read."""
+    return files.filter((F.col("length") > 0) & (F.col("length") <= most))

@@ -256,10 +256,10 @@ def q61_unique_names(spark, d):
     return R.unique_names(x, "folder", "name", ["item_id"]).select("item_id", "unique_name")
 
 
-@query("""WITH r AS (SELECT user_id, 'r' || event_id AS id, list_extract(['GOOD', 'bad', 'INVALID', 'odd', NULL], CAST(event_id % 5 AS INT) + 1) AS l FROM events)
-SELECT upper(CASE WHEN l = 'odd' THEN NULL ELSE l END) AS label, count(*) AS n FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id, 'r' || event_id AS id, list_extract(['GOODUML', ' baduml ', 'INVALID', 'odd', NULL], CAST(event_id % 5 AS INT) + 1) AS l FROM events)
+SELECT upper(trim(CASE WHEN l = 'odd' THEN NULL ELSE l END)) AS label, count(*) AS n FROM r GROUP BY 1""")
 def q62_audit_labels(spark, d):
-    names = F.array(*[F.lit(x) for x in ("GOOD", "bad", "INVALID", "odd", None)])
+    names = F.array(*[F.lit(x) for x in ("GOODUML", " baduml ", "INVALID", "odd", None)])
     label = F.get(names, (F.col("event_id") % 5).cast("int"))
     content = F.to_json(F.struct(label.alias("classification"), F.lit("why").alias("analysis")))
     body = F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"))

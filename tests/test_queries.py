@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from assaya.queries import core, more, rest  # noqa: F401  registers the queries
+from assaya.queries import core, more, rest, texts  # noqa: F401  registers the queries
 
 SF = "/root/testdata/sf0.001"
 
