@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -420,6 +421,25 @@ def test_license_digests(spark):
     assert license_digests.match(df.limit(0)).count() == 0
 
 
+def test_further_licenses(spark):
+    texts = [license_digests.SHORT["zlib"], "Copyright (c) 2001 Some One\n\n" + license_digests.SHORT["BSL-1.0"].lower(), "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + license_digests.KNOWN["MIT"]]
+    texts += ["Licensed under the Mozilla Public License, Version 2.0", "Released under the ZLIB License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "zlib"]
+    want = ["zlib", "BSL-1.0", "MIT", "MPL-2.0 notice", "zlib notice", "CC-BY-SA-4.0 notice", None]
+    common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, known in common.items():  # the whole files, on systems that have them
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+            texts += [text, text.replace("\n", " \r\n"), text.rsplit("\n\n", 2)[0]]
+            want += [known, known, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_digests.match(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    known = {r.canonical_sha256 for r in license_digests.known_digests(spark, license_digests.KNOWN).collect()}
+    assert not known & set(license_digests.DIGESTS)  # the SQL twin's names stay
+
+
 def test_join_groups(spark):
     rows = spark.createDataFrame([(0 if k < 3000 else k, k) for k in range(5000)], "k long, v long")
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
