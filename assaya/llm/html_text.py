@@ -5,10 +5,13 @@ length, or with nothing if it belongs to what pages carry around an article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments) or consists mostly of links. The sums over sliding windows of
 lines are the distribution: where it rises over a threshold that the page's own
-highest window sets is a surge point, where lines stop counting is a dive point,
-and the lines between a surge and its dive are kept. Where a page marks its
-article, only that is looked at, and every line of it that counts is part of one
-surge, however short.
+line of middle length sets is a surge point, where lines stop counting is a dive point,
+and the lines between a surge and its dive are kept. A mark (article, main) is a
+weight: lines in it need MARK times less, lines of such a page outside it MARK
+times more; a stretch of marked lines is kept or dropped as a whole, and lines of
+links in it count with what isn't linked. Elements whose class or id only sounds
+like what stands around, and forms, do not if they hold a mark with half of the
+page's text; nor do forms that hold half of it themselves.
 
 Cases: null and empty pages and pages without text give an empty text; pages of
 any length are read whole; unclosed and stray tags are tolerated; repeated rows
@@ -27,8 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaya.llm.common import read_table
 
-#: Lines of a window; a surge's least window, as a share of the page's highest and in characters.
+#: Lines of a window; a surge's least window, as a share of the page's line of middle length and in characters.
 WINDOW, SHARE, LEAST = 3, 0.2, 40
+#: What a mark weighs; least characters of a form that may hold the page.
+MARK, FORM = 4, 200
 #: Share of a line's characters that stand in links from which it counts as navigation.
 LINKS = 0.6
 
@@ -51,16 +56,23 @@ nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget widg
 footer masthead topbar toolbar cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe
 subscription signup login share sharing social comment comments commentlist reply replies disqus discussion respond
 pagination pager skip toc tags copyright""".split())
+#: Words before a name that only say what a page has.
+MODIFIERS = frozenset("has with no without".split())
 ARTICLE_NAMES = frozenset("article main-content article-body articlebody article-content post-content entry-content story-body post-body".split())
 
 
 class Line:
     """Text of one block: its parts, how many characters stand in links, whether it stands around or inside the article."""
 
-    __slots__ = ("parts", "linked", "around", "article")
+    __slots__ = ("parts", "linked", "around", "article", "held", "mark")
 
-    def __init__(self, around: bool, article: bool):
-        self.parts, self.linked, self.around, self.article = [], 0, around, article
+    def __init__(self, around: bool, article: bool, held: int, mark: int):
+        self.parts, self.linked = [], 0
+        self.set(around, article, held, mark)
+
+    def set(self, around: bool, article: bool, held: int, mark: int) -> None:
+        """``held`` and ``mark`` number the innermost wrapper and mark, -1 if none."""
+        self.around, self.article, self.held, self.mark = around, article, held, mark
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -74,7 +86,9 @@ def _names(attributes: str) -> tuple[set[str], set[str], str, bool]:
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             whole.update(value.split())
-            words.update(x for x in re.split(r"[^a-z]+", value) if x)
+            for name in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", name) if x]
+                words.update(x for k, x in enumerate(parts) if not k or parts[k - 1] not in MODIFIERS)
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -85,24 +99,26 @@ def _names(attributes: str) -> tuple[set[str], set[str], str, bool]:
 def lines(page: str) -> list[Line]:
     """Blocks of a page, in order."""
     out: list[Line] = []
-    # (element, stands around, in the article, in a link) of each open element
-    open_: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
-    line = Line(False, False)
+    # (element, stands around, in the article, wrapper, mark, in a link) of each open element
+    open_: list[tuple[str, bool, bool, int, int, bool]] = [("", False, False, -1, -1, False)]
+    wrappers: list[tuple[int, bool]] = []  # the wrapper outside, whether a form
+    marks: list[int] = []  # the wrapper outside
+    line = Line(*open_[-1][1:5])
     silent, at, size = 0, 0, len(page)
 
     def end_line() -> None:
         nonlocal line
         if line.parts:
             out.append(line)
-        line = Line(open_[-1][1], open_[-1][2])
+        line = Line(*open_[-1][1:5])
 
     def say(text: str) -> None:
         nonlocal line
         if text and not silent:
             if not line.parts:
-                line.around, line.article = open_[-1][1], open_[-1][2]
+                line.set(*open_[-1][1:5])
             line.parts.append(text)
-            if open_[-1][3]:
+            if open_[-1][5]:
                 line.linked += len(text.strip())
 
     while at < size:
@@ -129,7 +145,7 @@ def lines(page: str) -> list[Line]:
                     if gone == tag:
                         break
                 if tag in BLOCK:
-                    line = Line(open_[-1][1], open_[-1][2])
+                    line = Line(*open_[-1][1:5])
             elif tag == "p":
                 end_line()
             continue
@@ -150,40 +166,84 @@ def lines(page: str) -> list[Line]:
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCK and tag not in INLINE:
             continue
         words, whole, role, hidden = _names(m[4]) if m[4] else (set(), set(), "", False)
-        _, around, article, link = open_[-1]
+        _, around, article, held, mark, link = open_[-1]
         mine = tag in ("article", "main") or role in ("main", "article") or bool(whole & ARTICLE_NAMES)
-        around = around or hidden or tag in AROUND or role in ROLES or (tag == "header" and not article) or (bool(words & NAMES) and not mine and tag not in ("html", "body"))
-        article = article or (mine and not around)
-        open_.append((tag, around, article, link or tag == "a"))
+        around = around or hidden or tag in AROUND and tag != "form" or role in ROLES or (tag == "header" and not article)
+        if tag == "form" or bool(words & NAMES) and not mine and tag not in ("html", "body"):
+            wrappers.append((held, tag == "form"))
+            held = len(wrappers) - 1
+        if mine and not around:
+            article = True
+            marks.append(held)
+            mark = len(marks) - 1
+        open_.append((tag, around, article, held, mark, link or tag == "a"))
         silent += tag in SILENT
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else size
         if tag in BLOCK:
-            line = Line(around, article)
+            line = Line(*open_[-1][1:5])
     end_line()
+    settle(out, wrappers, marks)
     return out
 
 
+def settle(found: list[Line], wrappers: list[tuple[int, bool]], marks: list[int]) -> None:
+    """Makes the lines of wrappers stand around, but for wrappers that hold the page's text."""
+    if not wrappers:
+        return
+    total, inside, alone = 0, [0] * len(wrappers), [0] * len(marks)
+    for x in found:
+        if not x.around:
+            size = max(0, len(x.text()) - x.linked)
+            total += size
+            if x.held >= 0:
+                inside[x.held] += size
+            if x.mark >= 0 and x.held == marks[x.mark]:
+                alone[x.mark] += size
+    for k in range(len(wrappers) - 1, -1, -1):  # a wrapper comes after those outside it
+        if wrappers[k][0] >= 0:
+            inside[wrappers[k][0]] += inside[k]
+    free = {k for k, (_, form) in enumerate(wrappers) if form and inside[k] >= FORM and 2 * inside[k] > total}
+    for k, size in enumerate(alone):
+        held = marks[k] if size and 2 * size >= total else -1
+        while held >= 0:
+            free.add(held)
+            held = wrappers[held][0]
+    shut: list[bool] = []
+    for k, (outer, _) in enumerate(wrappers):
+        shut.append(k not in free or outer >= 0 and shut[outer])
+    for x in found:
+        x.around = x.around or x.held >= 0 and shut[x.held]
+
+
 def kept_lines(found: list[Line]) -> list[str]:
     """Texts of the lines between surge and dive points."""
     texts = [x.text() for x in found]
-    inside = any(x.article and not x.around and t for x, t in zip(found, texts, strict=True))
-    weights = []
-    for x, text in zip(found, texts, strict=True):
-        counts = bool(text) and not x.around and (x.article or not inside)
-        weights.append(len(text) if counts and (inside or x.linked < LINKS * len(text)) else 0)
-    windows = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
-    if not windows or not max(windows):
+    runs: list[tuple[bool, list[int], list[int]]] = []  # in a mark, places, weights of lines that follow each other and count
+    last = -2
+    for k, (x, text) in enumerate(zip(found, texts, strict=True)):
+        links = x.linked >= LINKS * len(text)
+        if not text or x.around or links and not x.article:
+            continue
+        if k != last + 1 or x.article != runs[-1][0]:
+            runs.append((x.article, [], []))
+        runs[-1][1].append(k)
+        runs[-1][2].append(max(1, len(text) - x.linked) if links else len(text))
+        last = k
+    windows = [[sum(weights[k : k + WINDOW]) for k in range(len(weights))] for _, _, weights in runs]
+    if not windows:
         return []
-    least = 1 if inside else min(max(windows), max(LEAST, SHARE * max(windows)))
-    out, k = [], 0
-    while k < len(weights):
-        if weights[k] and windows[k] >= least:  # a surge; the dive is where the lines stop counting
-            while k < len(weights) and weights[k]:
-                out.append(texts[k])
-                k += 1
-        k += 1
+    sizes = sorted(x for _, _, weights in runs for x in weights)
+    least, marked = SHARE * sizes[len(sizes) // 2], any(article for article, _, _ in runs)
+    out = []
+    for (article, places, _), heights in zip(runs, windows, strict=True):
+        if article:
+            first = 0 if max(heights) * MARK >= least else len(places)
+        else:
+            need = max(LEAST, least * MARK) if marked else min(max(map(max, windows)), max(LEAST, least))
+            first = next((k for k, x in enumerate(heights) if x >= need), len(places))
+        out += [texts[k] for k in places[first:]]
     return out
 
 

@@ -280,6 +280,24 @@ def test_html_text(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_html_text_of_other_pages():
+    body = [" ".join(f"word{k}{j}" for j in range(40)) for k in range(5)]
+    paras, text = "".join(f"<p>{x}</p>" for x in body), "\n".join(body)
+    menu = "<nav><a href=x>Home</a></nav>"
+    cards = "".join(f"<article><p>Card {k} tells little</p></article>" for k in range(4))
+    assert text in html_text.main_text(f"<body>{menu}<div id=content>{paras}</div>{cards}</body>")
+    for wrapper in ("div class='layout has-sidebar'", "form action=x", "div class='widget page'"):
+        tag = wrapper.split()[0]
+        assert html_text.main_text(f"<body><{wrapper}>{menu}<article>{paras}</article><div class=sidebar>Some words aside</div></{tag}></body>") == text
+    for wrapper in ("div class='layout has-sidebar'", "form action=x"):
+        assert html_text.main_text(f"<body><{wrapper}>{menu}<div>{paras}</div></{wrapper.split()[0]}></body>") == text
+    assert html_text.main_text(f"<body><div>{paras}</div><div class=comments><article><p>Nice one</p></article></div></body>") == text
+    stray = f"<body><p>Read more of what we have</p><article>{paras}<div class=ad>x</div><ul><li><a href=x>a1</a></li><li><a href=y>b2</a></li></ul></article></body>"
+    assert html_text.main_text(stray) == text
+    short = "<body><div><p>" + "x" * 6000 + "</p></div><div class=ad>Buy</div><div><p>" + "A short but whole paragraph of the text stands here. " * 2 + "</p></div>" + f"<div class=ad>Buy</div>{paras}</body>"
+    assert len(html_text.main_text(short).split("\n")) == 7
+
+
 def test_html_text_on_the_pages(spark):
     """The synthetic pages have their article in <article>; a reader of that template alone agrees."""
     import html
