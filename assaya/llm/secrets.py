@@ -28,8 +28,13 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A name of a credential, what joins it to its value, and the value.
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth|encryption|client)[_-]?(?:key|token|secret)|bearer)["']?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}["'`]?([^\s"'`<>,;(){}\[\]]{8,})""", re.A | re.I)
+#: A name of a credential, what joins it to its value (after "bearer" blanks alone, unless a plain word of prose follows), and the value.
+CONTEXT = re.compile(
+    r"""(?<![A-Za-z0-9])(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth|encryption|client)[_-]?(?:key|token|secret)|bearer)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+"""
+    r"""|authorization["']?[ \t]*+(?::=|=>|[:=])[ \t]*+["'`]?bearer[ \t]++|bearer[ \t]++(?!(?-i:[A-Z]?[a-z'-]++)[.,;:!?)\]]*+(?:\s|$)))["'`]?([^\s"'`<>,;(){}\[\]]{8,})""",
+    re.A | re.I,
+)
+BEARER = re.compile("bearer[ \t]", re.A | re.I)
 MIN_LOG10 = 10.0
 
 #: Common words of passwords, most common first.
@@ -115,7 +120,7 @@ def guess_cost(value: str) -> float:
 def spans(text: str, least: float = MIN_LOG10) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all spans, in that order."""
     found = []
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or BEARER.search(text):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".!?:")

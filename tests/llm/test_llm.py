@@ -430,6 +430,16 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_after_blanks():
+    value = "Xq9vT2mZ81kL0pQ"
+    for text in ("pwd" + " " * 11 + "= @", "pwd =" + " \t" * 50 + "@", "Authorization: Bearer @", "Bearer @", "bearer   @", 'auth="Bearer @"', "bearer: @", "pwd = @"):
+        text = text.replace("@", value)
+        assert value not in secrets.redacted(text, secrets.spans(text)), text
+    assert secrets.spans("Authorization: Bearer qzxkvjwpyhgmtrbn")
+    assert not secrets.spans("The bearer instruments: bearer certificates, Bearer Identification.")
+    assert not secrets.spans("pwd" + " " * 100_000 + "bearer" + " " * 100_000)
+
+
 def test_license_digests(spark):
     mit = license_digests.KNOWN["MIT"]
     texts = [None, "", mit, "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + mit.replace("sublicense", "sub-license").upper(), "MIT", mit + " more", license_digests.KNOWN["ISC"], "copyright holder"]
