@@ -5,8 +5,9 @@ takes effect: documents without a language go, of equal texts the one with the
 largest doc_id stays, of near copies the one with the smallest doc_id, secrets are
 masked, and what is left is packed into sequences. All but the last stage return
 the columns of documents, further ones included. Rows that repeat a doc_id are told
-apart by their text among exact copies; among near copies all rows of a doc_id stay
-if one of them does. A row without a doc_id stays unless it is a copy of one with.
+apart by their text among exact copies, and one row stays of those that repeat both,
+also without a doc_id; among near copies all rows of a doc_id stay if one of them
+does. A row without a doc_id stays unless it is a copy of one with.
 """
 
 from __future__ import annotations
@@ -41,10 +42,11 @@ def only(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the largest doc_id of equal texts."""
+    """Keeps the largest doc_id of equal texts, and one row of those that repeat it with its text."""
     small_batches(spark)
     digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return only(docs, exact_dedup(docs).filter("kept"), {"doc_id": docs["doc_id"], "text_sha256": digest})
+    kept = only(docs, exact_dedup(docs).filter("kept"), {"doc_id": docs["doc_id"], "text_sha256": digest})
+    return kept.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_run_on_odd_rows(spark):
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), SF).count() == 0
     assert zlib.crc32(b"5") and language_id.BITS
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "the house of the sea", "en", "s", 20), (1, "The house of the sea", "en", "s", 20), (1, "another text", "en", "s", 12), (None, "no id here", "en", "s", 10), (None, "No id here", "en", "s", 10), (None, "nor here", "en", "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.exact_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str) == [(1, "another text"), (1, "the house of the sea"), (None, "no id here"), (None, "nor here")]
