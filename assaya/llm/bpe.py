@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaya.llm.common import read_table
 
-#: Entries that a worker's memos hold before they are emptied: words of texts, and pairs of tokens.
-MEMO_WORDS, MEMO_PAIRS, PAIR_SLOTS = 400_000, 200_000, 1 << 21
+#: Entries that a worker's memos hold before they are emptied: words of texts, and pairs of tokens; longer words are not kept.
+MEMO_WORDS, MEMO_PAIRS, PAIR_SLOTS, MEMO_CHARS = 400_000, 200_000, 1 << 21, 64
 #: Longer pieces are worked out one by one.
 MANY_LONGEST = 64
 #: Texts that are encoded together have about so many characters.
@@ -353,7 +353,7 @@ class TextBPE:
             return [" " + stem] if len(stem) == len(word) else [" " + stem, word[len(stem) :]]
         return self.pieces(" " + word)
 
-    def encode_decimal(self, texts: list[str]) -> Iterator[str]:
+    def encode_decimal(self, texts: list[str]) -> list[str]:
         """Ids of each text, in decimals joined by commas. Where no two white-space characters meet, each blank starts a piece, so what stands between blanks is remembered as a whole."""
         memo, gaps, decimal = self.memo, self.gaps, self.decimal.__getitem__
         split = [None if gaps(x) else x.split(" ") for x in texts]
@@ -371,9 +371,14 @@ class TextBPE:
         found = {x: ",".join(map(decimal, ids)) for x, ids in zip(names, self.bpe.encode_many([x.encode() for x in names]), strict=True)}
         for x, own in cut.items():
             memo[x] = found[own[0]] if len(own) == 1 else ",".join([found[p] for p in own])
+        out = []
         for own, s in zip(head_cut, split, strict=True):
             head = [found[p] for p in own]
-            yield ",".join(chain(head, map(memo.__getitem__, s)) if s else head)
+            out.append(",".join(chain(head, map(memo.__getitem__, s)) if s else head))
+        for x in missing:
+            if len(x) > MEMO_CHARS:
+                del memo[x]
+        return out
 
     def encode_chunks(self, texts: list[str]) -> Iterator[str]:
         """``encode_decimal`` for any number of texts, about CHUNK characters at a time."""
@@ -385,7 +390,7 @@ class TextBPE:
                 start, size = k + 1, 0
 
     def encode(self, text: str) -> list[int]:
-        return ids_of(next(self.encode_decimal([text]))).tolist()
+        return ids_of(self.encode_decimal([text])[0]).tolist()
 
     def decode(self, ids: np.ndarray | list[int]) -> bytes:
         ids = np.asarray(ids, np.int64)

@@ -1,17 +1,23 @@
 """Main text of HTML pages by the line-block distribution.
 
-Markup is stripped to lines, one for each block of text. A line counts with its
-length, or with nothing if it belongs to what pages carry around an article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) or consists mostly of links. The sums over sliding windows of
-lines are the distribution: where it rises over a threshold that the page's own
-line of middle length sets is a surge point, where lines stop counting is a dive point,
-and the lines between a surge and its dive are kept. A mark (article, main) is a
-weight: lines in it need MARK times less, lines of such a page outside it MARK
-times more; a stretch of marked lines is kept or dropped as a whole, and lines of
-links in it count with what isn't linked. Elements whose class or id only sounds
-like what stands around, and forms, do not if they hold a mark with half of the
-page's text; nor do forms that hold half of it themselves.
+Markup is stripped to lines, one for each block of text, and each line weighs its
+length times what its place is worth: MARK times as much in a mark (article,
+main), a MARK-th in an element whose class or id has a word that may name what
+stands around, and next to nothing (AROUND_WEIGHT) where menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments stand, or in lines of links
+outside a mark. The sums over sliding windows of lines are the distribution.
+Lines that follow each other and are worth the same form a stretch: it dives where
+that ends, and where its windows reach a threshold that the page's own line of
+middle length sets is its surge point. What lies between is kept; in a mark, where
+headings and short lines come first, the surge counts from the stretch's start.
+Where a page has a mark, the threshold for lines outside it is MARK times higher.
+No line is kept or dropped but by its stretch's windows.
+
+A class or id names what stands around for sure if all its words do ("comments",
+"related-posts"); if only some do ("popular-science") it is the weak sign above.
+Elements of such a name, and forms, are not around if they hold a mark with half
+of the page's text; nor are forms that hold half of it themselves. Work is linear
+in the page, also with unclosed tags.
 
 Cases: null and empty pages and pages without text give an empty text; pages of
 any length are read whole; unclosed and stray tags are tolerated; repeated rows
@@ -32,8 +38,8 @@ from assaya.llm.common import read_table
 
 #: Lines of a window; a surge's least window, as a share of the page's line of middle length and in characters.
 WINDOW, SHARE, LEAST = 3, 0.2, 40
-#: What a mark weighs; least characters of a form that may hold the page.
-MARK, FORM = 4, 200
+#: What a mark weighs; what a line around the article does; least characters of a form that may hold the page.
+MARK, AROUND_WEIGHT, FORM = 4, 1e-6, 200
 #: Share of a line's characters that stand in links from which it counts as navigation.
 LINKS = 0.6
 
@@ -56,31 +62,36 @@ nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget widg
 footer masthead topbar toolbar cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe
 subscription signup login share sharing social comment comments commentlist reply replies disqus discussion respond
 pagination pager skip toc tags copyright""".split())
+#: Words that say no more of a name than its place or form.
+FORMS = frozenset("""area bar block body bottom box btn button buttons card cards center col column container content group head header
+holder icon icons image inner item items label left link links list lists main module mobile desktop outer page panel post posts
+article articles right row section site slot space story stories text title top unit wrap wrapper zone first last global primary secondary
+fixed sticky inline user reader new more latest""".split())
 #: Words before a name that only say what a page has.
 MODIFIERS = frozenset("has with no without".split())
 ARTICLE_NAMES = frozenset("article main-content article-body articlebody article-content post-content entry-content story-body post-body".split())
 
 
 class Line:
-    """Text of one block: its parts, how many characters stand in links, whether it stands around or inside the article."""
+    """Text of one block: its parts, how many characters stand in links, whether it stands around or inside the article, or in an element with a weak name."""
 
-    __slots__ = ("parts", "linked", "around", "article", "held", "mark")
+    __slots__ = ("parts", "linked", "around", "article", "weak", "held", "mark")
 
-    def __init__(self, around: bool, article: bool, held: int, mark: int):
+    def __init__(self, around: bool, article: bool, weak: bool, held: int, mark: int):
         self.parts, self.linked = [], 0
-        self.set(around, article, held, mark)
+        self.set(around, article, weak, held, mark)
 
-    def set(self, around: bool, article: bool, held: int, mark: int) -> None:
+    def set(self, around: bool, article: bool, weak: bool, held: int, mark: int) -> None:
         """``held`` and ``mark`` number the innermost wrapper and mark, -1 if none."""
-        self.around, self.article, self.held, self.mark = around, article, held, mark
+        self.around, self.article, self.weak, self.held, self.mark = around, article, weak, held, mark
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def _names(attributes: str) -> tuple[set[str], set[str], str, bool]:
-    """Words of class and id, whole class names and ids, role, whether hidden."""
-    words, whole, role, hidden = set(), set(), "", False
+def _names(attributes: str) -> tuple[bool, bool, set[str], str, bool]:
+    """Whether class or id name what stands around, or only may; whole class names and ids, role, whether hidden."""
+    strong, weak, whole, role, hidden = False, False, set(), "", False
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5] or "").lower()
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
@@ -88,39 +99,52 @@ def _names(attributes: str) -> tuple[set[str], set[str], str, bool]:
             whole.update(value.split())
             for name in value.split():
                 parts = [x for x in re.split(r"[^a-z]+", name) if x]
-                words.update(x for k, x in enumerate(parts) if not k or parts[k - 1] not in MODIFIERS)
+                said = [x in NAMES and (not k or parts[k - 1] not in MODIFIERS) for k, x in enumerate(parts)]
+                if any(said):
+                    sure = all(yes or len(x) == 1 or x in FORMS for x, yes in zip(parts, said, strict=True))
+                    strong, weak = strong or sure, weak or not sure
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    return words, whole, role, hidden
+    return strong, weak, whole, role, hidden
 
 
 def lines(page: str) -> list[Line]:
     """Blocks of a page, in order."""
     out: list[Line] = []
-    # (element, stands around, in the article, wrapper, mark, in a link) of each open element
-    open_: list[tuple[str, bool, bool, int, int, bool]] = [("", False, False, -1, -1, False)]
+    # (element, stands around, in the article, in a weak name, wrapper, mark, in a link) of each open element
+    open_: list[tuple[str, bool, bool, bool, int, int, bool]] = [("", False, False, False, -1, -1, False)]
+    count: dict[str, int] = {}  # open elements by name
+    firm = [0]  # for each open element the place of the nearest that isn't inline, itself included
     wrappers: list[tuple[int, bool]] = []  # the wrapper outside, whether a form
     marks: list[int] = []  # the wrapper outside
-    line = Line(*open_[-1][1:5])
+    line = Line(*open_[-1][1:6])
     silent, at, size = 0, 0, len(page)
 
     def end_line() -> None:
         nonlocal line
         if line.parts:
             out.append(line)
-        line = Line(*open_[-1][1:5])
+        line = Line(*open_[-1][1:6])
 
     def say(text: str) -> None:
         nonlocal line
         if text and not silent:
             if not line.parts:
-                line.set(*open_[-1][1:5])
+                line.set(*open_[-1][1:6])
             line.parts.append(text)
-            if open_[-1][5]:
+            if open_[-1][6]:
                 line.linked += len(text.strip())
 
+    def pop() -> str:
+        nonlocal silent
+        firm.pop()
+        gone = open_.pop()[0]
+        count[gone] -= 1
+        silent -= gone in SILENT
+        return gone
+
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
@@ -134,18 +158,17 @@ def lines(page: str) -> list[Line]:
             continue
         tag = m[3].lower()
         if m[2]:
-            if any(x[0] == tag for x in open_[1:]):
+            if count.get(tag):
                 if tag in BLOCK:
                     end_line()
                 while len(open_) > 1:
-                    gone = open_.pop()[0]
-                    silent -= gone in SILENT
+                    gone = pop()
                     if gone in BLOCK and gone != tag:
                         end_line()
                     if gone == tag:
                         break
                 if tag in BLOCK:
-                    line = Line(*open_[-1][1:5])
+                    line = Line(*open_[-1][1:6])
             elif tag == "p":
                 end_line()
             continue
@@ -154,35 +177,36 @@ def lines(page: str) -> list[Line]:
             continue
         closing = ENDS.get(tag)
         if closing:
-            depth = len(open_) - 1
-            while depth > 0 and (open_[depth][0] in closing or open_[depth][0] in INLINE):
-                depth -= 1
-            if any(x[0] in closing for x in open_[depth + 1 :]):
-                first = next(k for k in range(depth + 1, len(open_)) if open_[k][0] in closing)
-                silent -= sum(x[0] in SILENT for x in open_[first:])
-                del open_[first:]
+            first, depth = 0, firm[-1]
+            while open_[depth][0] in closing:
+                first, depth = depth, firm[depth - 1]
+            while first and len(open_) > first:
+                pop()
         if tag in BLOCK:
             end_line()
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCK and tag not in INLINE:
             continue
-        words, whole, role, hidden = _names(m[4]) if m[4] else (set(), set(), "", False)
-        _, around, article, held, mark, link = open_[-1]
+        strong, maybe, whole, role, hidden = _names(m[4]) if m[4] else (False, False, set(), "", False)
+        _, around, article, weak, held, mark, link = open_[-1]
         mine = tag in ("article", "main") or role in ("main", "article") or bool(whole & ARTICLE_NAMES)
         around = around or hidden or tag in AROUND and tag != "form" or role in ROLES or (tag == "header" and not article)
-        if tag == "form" or bool(words & NAMES) and not mine and tag not in ("html", "body"):
+        root = tag in ("html", "body")
+        if tag == "form" or strong and not mine and not root:
             wrappers.append((held, tag == "form"))
             held = len(wrappers) - 1
         if mine and not around:
-            article = True
+            article, weak = True, False
             marks.append(held)
             mark = len(marks) - 1
-        open_.append((tag, around, article, held, mark, link or tag == "a"))
+        open_.append((tag, around, article, weak or maybe and not mine and not root, held, mark, link or tag == "a"))
+        count[tag] = count.get(tag, 0) + 1
+        firm.append(firm[-1] if tag in INLINE else len(open_) - 1)
         silent += tag in SILENT
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else size
         if tag in BLOCK:
-            line = Line(*open_[-1][1:5])
+            line = Line(*open_[-1][1:6])
     end_line()
     settle(out, wrappers, marks)
     return out
@@ -205,11 +229,13 @@ def settle(found: list[Line], wrappers: list[tuple[int, bool]], marks: list[int]
         if wrappers[k][0] >= 0:
             inside[wrappers[k][0]] += inside[k]
     free = {k for k, (_, form) in enumerate(wrappers) if form and inside[k] >= FORM and 2 * inside[k] > total}
+    holds: set[int] = set()
     for k, size in enumerate(alone):
         held = marks[k] if size and 2 * size >= total else -1
-        while held >= 0:
-            free.add(held)
+        while held >= 0 and held not in holds:
+            holds.add(held)
             held = wrappers[held][0]
+    free |= holds
     shut: list[bool] = []
     for k, (outer, _) in enumerate(wrappers):
         shut.append(k not in free or outer >= 0 and shut[outer])
@@ -217,33 +243,39 @@ def settle(found: list[Line], wrappers: list[tuple[int, bool]], marks: list[int]
         x.around = x.around or x.held >= 0 and shut[x.held]
 
 
-def kept_lines(found: list[Line]) -> list[str]:
+def worth(x: Line, text: str) -> tuple[float, int]:
+    """What a line's place is worth, and the characters that count."""
+    links = x.linked >= LINKS * len(text)
+    if x.around or links and (x.weak or not x.article):
+        return AROUND_WEIGHT, len(text)
+    place = (MARK if x.article else 1) / (MARK if x.weak else 1)
+    return place, max(1, len(text) - x.linked) if links else len(text)
+
+
+def kept_lines(found: list[Line], share: float = SHARE, least: int = LEAST) -> list[str]:
     """Texts of the lines between surge and dive points."""
-    texts = [x.text() for x in found]
-    runs: list[tuple[bool, list[int], list[int]]] = []  # in a mark, places, weights of lines that follow each other and count
-    last = -2
-    for k, (x, text) in enumerate(zip(found, texts, strict=True)):
-        links = x.linked >= LINKS * len(text)
-        if not text or x.around or links and not x.article:
+    stretches: list[tuple[bool, float, list[str], list[int]]] = []  # in a mark, worth, texts, characters that count
+    for x in found:
+        text = x.text()
+        if not text:
             continue
-        if k != last + 1 or x.article != runs[-1][0]:
-            runs.append((x.article, [], []))
-        runs[-1][1].append(k)
-        runs[-1][2].append(max(1, len(text) - x.linked) if links else len(text))
-        last = k
-    windows = [[sum(weights[k : k + WINDOW]) for k in range(len(weights))] for _, _, weights in runs]
-    if not windows:
+        place, size = worth(x, text)
+        if not stretches or stretches[-1][:2] != (x.article, place):
+            stretches.append((x.article, place, [], []))
+        stretches[-1][2].append(text)
+        stretches[-1][3].append(size)
+    sizes = sorted(n for _, place, _, own in stretches if place > AROUND_WEIGHT for n in own)
+    if not sizes:
         return []
-    sizes = sorted(x for _, _, weights in runs for x in weights)
-    least, marked = SHARE * sizes[len(sizes) // 2], any(article for article, _, _ in runs)
+    windows = [[place * sum(own[k : k + WINDOW]) for k in range(len(own))] for _, place, _, own in stretches]
+    need, marked = share * sizes[len(sizes) // 2], any(article and place > AROUND_WEIGHT for article, place, _, _ in stretches)
+    # A page without a mark keeps its highest windows, however short its lines are.
+    outside = max(least, need * MARK) if marked else min(max(map(max, windows)), max(least, need))
     out = []
-    for (article, places, _), heights in zip(runs, windows, strict=True):
-        if article:
-            first = 0 if max(heights) * MARK >= least else len(places)
-        else:
-            need = max(LEAST, least * MARK) if marked else min(max(map(max, windows)), max(LEAST, least))
-            first = next((k for k, x in enumerate(heights) if x >= need), len(places))
-        out += [texts[k] for k in places[first:]]
+    for (article, _, texts, _), heights in zip(stretches, windows, strict=True):
+        surge = next((k for k, x in enumerate(heights) if x >= (need if article else outside)), None)
+        if surge is not None:
+            out += texts[0 if article else surge :]
     return out
 
 

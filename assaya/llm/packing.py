@@ -9,6 +9,9 @@ that is left, so that a group has less than one sequence of padding.
 Documents are tokenized once. A piece's CRC-32 after a cut comes from prefix
 sums that were taken every STEP tokens, by the linearity of the CRC.
 
+Ids are those of the library's plain call, so the string of a special token in a
+text becomes that token.
+
 Cases: a null or empty text is one document of its end token alone; long texts
 are tokenized whole and cut at full sequences; repeated rows are packed as rows
 of their own, in any groups; an empty table gives an empty result; further input
@@ -39,8 +42,8 @@ from assaya.llm.common import read_table, written
 CAPACITY, STEP, END_ID = 4096, 32, 2
 GROUP_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-#: Entries of each of a worker's two memos, about 110 MB each, before the newer replaces the older.
-MEMO_WORDS = 500_000
+#: Entries of each of a worker's two memos, about 110 MB each, before the newer replaces the older; longer words are not kept.
+MEMO_WORDS, MEMO_CHARS = 500_000, 64
 #: Bytes of rows that are tokenized together, so that a word is looked up once for them.
 BATCH_BYTES = 8 << 20
 #: Fixed marks, none of them a letter, a digit, white space or the apostrophe.
@@ -57,15 +60,18 @@ class WordTokens:
     Common marks after a letter, at the end of a word, are set apart, as they are
     pieces of their own there. Distinct words are told by Arrow, and new ones
     encoded many in one text and told apart by their last tokens, which carry the
-    vocabulary's end-of-word suffix.
+    vocabulary's end-of-word suffix. The string of a special token in a text gets
+    that token's id, as the library gives it, unless ``special_as_text``.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # Special tokens are told before letters are lowered, so words that may hold one are looked up as they are.
+        self.special = "|".join(re.escape(x["content"]) for x in json.loads(data).get("added_tokens", [])) or "$^"
         suffix = json.loads(data)["model"].get("end_of_word_suffix") or "\0"
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -106,7 +112,8 @@ class WordTokens:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, MARKS_AT_END, r"\1 \2 "))
         words = lists.flatten().dictionary_encode()
         known = words.dictionary
-        known = pc.if_else(pc.string_is_ascii(known), pc.ascii_lower(known), known).to_numpy(zero_copy_only=False).tolist()
+        lower = pc.and_(pc.string_is_ascii(known), pc.invert(pc.match_substring_regex(known, self.special, ignore_case=True)))
+        known = pc.if_else(lower, pc.ascii_lower(known), known).to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > MEMO_WORDS:
             self.old, self.memo = self.memo, {}
         memo, new = self.memo, []
@@ -119,6 +126,9 @@ class WordTokens:
                     memo[word] = ids
         self.learn(new)
         parts = [memo[w] for w in known]
+        for word in new:
+            if len(word) > MEMO_CHARS:
+                del memo[word]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, at, which = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size, words.indices.to_numpy()
         length = size[which]
@@ -191,8 +201,6 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         tokens, seen = _word_tokens(model.value), 0
         part = TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
-        gc.disable()  # nothing here makes cycles, and passes over the memos are slow
-        pa.set_cpu_count(1)
         for batch in larger(batches, BATCH_BYTES):
             rows = []
             texts = pc.fill_null(batch.column("text"), "")
@@ -212,8 +220,19 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
             kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "crc", "doc_tokens", "marks", "salt"])
 
+    def quietly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        collects, threads = gc.isenabled(), pa.cpu_count()
+        gc.disable()  # nothing here makes cycles, and passes over the memos are slow
+        pa.set_cpu_count(1)
+        try:
+            yield from run(batches)
+        finally:  # the worker goes on to other tasks
+            pa.set_cpu_count(threads)
+            if collects:
+                gc.enable()
+
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, crc long, doc_tokens long, marks binary, salt long")
+    return rows.mapInArrow(quietly, "doc_id long, start long, length long, crc long, doc_tokens long, marks binary, salt long")
 
 
 def pack_group(rows: pd.DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple]:

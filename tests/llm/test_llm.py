@@ -298,6 +298,62 @@ def test_html_text_of_other_pages():
     assert len(html_text.main_text(short).split("\n")) == 7
 
 
+def test_html_text_keeps_article_text_of_weak_names():
+    body = [" ".join(f"word{k}{j}" for j in range(40)) for k in range(4)]
+    paras = "".join(f"<p>{x}</p>" for x in body)
+    for name in ("class=popular-science", "id=related-work", "class='menu-history'", "class='copyright-law'", "class=no-comments", "id='social-policy'"):
+        for tag in ("p", "section"):
+            page = f"<body><article>{paras}<{tag} {name}>A paragraph of some length that is part of the article itself.</{tag}></article></body>"
+            assert html_text.main_text(page).endswith("\nA paragraph of some length that is part of the article itself."), name
+    for name in ("class=related-posts", "class='ad-slot ad-300x250'", "id=comments", "class='newsletter-signup-box'", "class=cookie-notice", "class='site-x sidebar'"):
+        page = f"<body><article>{paras}<div {name}><p>A paragraph of some length that is no part of the article itself.</p></div></article></body>"
+        assert html_text.main_text(page) == "\n".join(body), name
+    # In a weak name short lines and lines of links don't reach the threshold.
+    for inner in ("Short", "<a href=x>A link of some length to another article of this site</a>"):
+        assert html_text.main_text(f"<body><article>{paras}<div class='popular-science'>{inner}</div></article></body>") == "\n".join(body)
+
+
+def test_html_text_windows_decide(spark):
+    """The distribution against plain loops, and that it decides on every page."""
+    rng = random.Random(9)
+    for _ in range(500):
+        found = []
+        for k in range(rng.randint(0, 25)):
+            x = html_text.Line(rng.random() < 0.2, rng.random() < 0.5, rng.random() < 0.2, -1, -1)
+            x.parts = [f"{k}:" + "x" * rng.choice((0, 3, 20, 200, 900))]
+            x.linked = rng.choice((0, 0, 0, len(x.parts[0])))
+            found.append(x)
+        lines = [(x.article, *html_text.worth(x, x.text()), x.text()) for x in found]
+        counted = sorted(size for _, place, size, _ in lines if place > html_text.AROUND_WEIGHT)
+        want = []
+        if counted:
+            least = 0.2 * counted[len(counted) // 2]
+            marked = any(a and place > html_text.AROUND_WEIGHT for a, place, _, _ in lines)
+            same = lambda i, j: lines[i][:2] == lines[j][:2]
+            end = [next((j for j in range(i, len(lines)) if not same(i, j)), len(lines)) for i in range(len(lines))]
+            begin = [next(j + 1 for j in range(i, -2, -1) if j < 0 or not same(i, j)) for i in range(len(lines))]
+            height = [lines[i][1] * sum(x[2] for x in lines[i : min(i + 3, end[i])]) for i in range(len(lines))]
+            outside = max(40, 4 * least) if marked else min(max(height), max(40, least))
+            for i, (article, _, _, text) in enumerate(lines):
+                seen = range(begin[i], end[i]) if article else range(begin[i], i + 1)
+                if any(height[j] >= (least if article else outside) for j in seen):
+                    want.append(text)
+        assert html_text.kept_lines(found) == want
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        found = html_text.lines(r.html)
+        assert set(html_text.kept_lines(found)) < set(html_text.kept_lines(found, share=0.0, least=0))
+
+
+@pytest.mark.parametrize("part", ["<b>", "<div>", "<p><b>", "<ul><li><i>", "<form>", "<div class=ad>", "<article>", "<div><b></div>", "</b>", "<td>", "<a href=x>y"])
+def test_html_text_is_linear_in_open_tags(part):
+    import time
+
+    for tail in ("<p>x", "<hr>", "</div>", "</i>", "<li>z"):
+        began = time.process_time()
+        html_text.main_text(part * 8000 + tail * 8000)
+        assert time.process_time() - began < 2
+
+
 def test_html_text_on_the_pages(spark):
     """The synthetic pages have their article in <article>; a reader of that template alone agrees."""
     import html
@@ -317,7 +373,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for _, x in rows]
     got = packing.pack(df, path, group_tokens=20_000).collect()
     by_doc: dict = {}
@@ -353,17 +408,49 @@ def test_word_tokens_agree_with_the_tokenizer_on_odd_texts():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain, text_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    text_only.encode_special_tokens = True
     with open(path, "rb") as f:
-        tokens = packing.WordTokens(f.read())
+        data = f.read()
     rng = random.Random(5)
-    parts = [*"aBZ.,;:!?%$#&*()-'=<>|/_09 \t\n\v\f\r\x1c\u00a0\u2003éÀßİıſǰΣσ", "J\u030c", "e\u0301", "I\u0307", "\u0301", "\u0338", "\u0345", "'s", "'re", "<|endoftext|>", "</w>", "日本", "\U0001f600", "word", "Word", " the ", "x" * 300]
+    parts = [*"aBZ.,;:!?%$#&*()-'=<>|/_09 \t\n\v\f\r\x1c\u00a0\u2003éÀßİıſǰΣσ", "J\u030c", "e\u0301", "I\u0307", "\u0301", "\u0338", "\u0345", "'s", "'re", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "</w>", "日本", "\U0001f600", "word", "Word", " the ", "x" * 300]
     texts = ["", " ", ".", *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(4000))]
-    for k in range(0, len(texts), 500):
-        some = texts[k : k + 500]
-        for text, got in zip(some, tokens.batch(pa.array(some, pa.string())), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    for tokens, tokenizer in ((packing.WordTokens(data), plain), (packing.WordTokens(data, special_as_text=True), text_only)):
+        for k in range(0, len(texts), 500):
+            some = texts[k : k + 500]
+            for text, got in zip(some, tokens.batch(pa.array(some, pa.string())), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert not any(len(w) > packing.MEMO_CHARS for w in tokens.memo)
+
+
+def test_packing_is_the_plain_greedy():
+    """Assignment of one group against a plain loop over sequences."""
+    import pandas as pd
+
+    rng = random.Random(8)
+    for _ in range(20):
+        sizes = [rng.choice((rng.randint(1, 60), rng.randint(61, 127))) for _ in range(rng.randint(1, 80))]
+        rows = pd.DataFrame({"doc_id": range(len(sizes)), "start": 0, "length": sizes, "crc": 0, "doc_tokens": sizes, "marks": [np.zeros(4, "<u4").tobytes()] * len(sizes), "salt": range(len(sizes))})
+        got = packing.pack_group(rows, capacity=128)
+        bins = [[0.0, 128] for _ in range(-(-sum(sizes) // 128))]
+        want = []
+        for size, doc in sorted(((s, d) for d, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
+            at = 0
+            while at < size:
+                able = [b for b in range(len(bins)) if bins[b][1] >= size - at]
+                if able:
+                    place, length = min(able, key=lambda b: (bins[b][0], b)), size - at
+                else:
+                    place = max(range(len(bins)), key=lambda b: (bins[b][1], -b))
+                    length = bins[place][1] // packing.STEP * packing.STEP
+                    if not length:
+                        bins.append([0.0, 128])
+                        continue
+                want.append((doc, at, length, place, 128 - bins[place][1]))
+                bins[place][1] -= length
+                bins[place][0] += packing.LINEAR * length + packing.QUADRATIC * length * length
+                at += length
+        assert [(r[0], r[1], r[2], r[5], r[6]) for r in got] == want
 
 
 def test_larger_batches_keep_all_rows():
@@ -430,6 +517,45 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def exhaustive_cost(value, ranks):
+    """The cheapest segmentation, by all substrings."""
+    low = value.lower()
+    plain, best = low.translate(secrets.LEET), [0.0]
+    kinds, runs = secrets.stretches(), list(secrets.run_lengths(value, low))
+    for end in range(1, len(value) + 1):
+        own = secrets._alphabet(value[end - 1])
+        options = [best[end - 1] + own]
+        for start in range(end):
+            size = end - start
+            options.append(best[start] + (secrets.word_cost(value, low, plain, start, end, ranks) if size > 2 else np.inf))
+            options += [best[start] + kind.cost(size) + (0 if k else own) for k, kind in enumerate(kinds) if kind.least <= size <= runs[end - 1][k]]
+            if secrets.DATE.fullmatch(value[start:end]):
+                options.append(best[start] + (2.1 if size == 4 else 4.6))
+            if size in secrets.UNITS and start >= size and value[start - size : start] == value[start:end]:
+                options.append(best[start] + 0.4)
+        best.append(min(options))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(6)
+    words = secrets.vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(words) > 20_000 and words.index("the") < 10 < words.index("house") < 2000
+    parts = ["password", "rtyuiop", "fvbgt", "rewqasd", "99", "aaaa", "abcdef", "87654", "2019", "31-12-1999", "741852963", "xyxyxy", "S", "$", "P@ss", "é", "qwe", "zz", "Summer", "1", "123123"]
+    values = ["passwordrtyuiop", "summerfvbgt99", "testrewqasd99", "a" * 500, "", *("".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(1500)), *("".join(rng.choices("ab12qwx", k=rng.randint(1, 25))) for _ in range(1500))]
+    for ranks in (secrets.ranked(()), secrets.ranked(words)):
+        for value in values if len(ranks) < 1000 else values[::10]:
+            assert abs(secrets.guess_cost(value, ranks) - exhaustive_cost(value, ranks)) < 1e-9, value
+    assert secrets.guess_cost("passwordrtyuiop") < 6 < secrets.guess_cost("summerfvbgt99") < 8
+    assert secrets.guess_cost("keyboardhorizon") > 10 > secrets.guess_cost("keyboardhorizon", secrets.ranked(words))
+
+
+def test_secrets_of_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(None, "token=abcdef"), (None, None), (3, "token=abcdef"), (3, "token=abcdef")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.spans) for r in got), key=str) == [(3, "assign:0:12"), (3, "assign:0:12"), (None, ""), (None, "assign:0:12")]
+
+
 def test_secrets_after_blanks():
     value = "Xq9vT2mZ81kL0pQ"
     for text in ("pwd" + " " * 11 + "= @", "pwd =" + " \t" * 50 + "@", "Authorization: Bearer @", "Bearer @", "bearer   @", 'auth="Bearer @"', "bearer: @", "pwd = @"):

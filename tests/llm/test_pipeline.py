@@ -3,6 +3,7 @@
 import zlib
 
 import corpus_pipeline
+import public_tokenizers
 from assaya.llm import language_id, secrets
 from test_llm import brute_components, low
 
@@ -33,8 +34,9 @@ def test_stages(spark):
     _, comp = brute_components(rows)
     assert set(apart) == {rows[k][0] for k, c in comp.items() if rows[k][0] == c}
     assert set(clean) == set(apart)
+    ranks = secrets.ranked(secrets.vocabulary_words(public_tokenizers.path("word_bpe_49k.json")))
     for d, r in clean.items():
-        assert r.text == secrets.redacted(apart[d].text, secrets.spans(apart[d].text))
+        assert r.text == secrets.redacted(apart[d].text, secrets.spans(apart[d].text, ranks=ranks))
         assert r.n_chars == len(r.text)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(clean)
@@ -65,3 +67,9 @@ def test_repeated_rows(spark):
     out = corpus_pipeline.exact_copies(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str) == [(1, "another text"), (1, "the house of the sea"), (None, "no id here"), (None, "nor here")]
+
+
+def test_a_corpus_without_labels_stays(spark):
+    rows = [(1, "the house of the sea", None, "s", 20), (2, None, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.languages(spark, docs, SF).collect()} == {1, 2}
