@@ -19,7 +19,7 @@ from assaya.llm.common import ascii_lower, read_table, small_batches, written
 from assaya.llm.exact_dedup import exact_dedup
 from assaya.llm.language_id import held_out, predict, train
 from assaya.llm.packing import pack
-from assaya.llm.secrets import redact
+from assaya.llm.secrets import redact, vocabulary_words
 from assaya.llm.simhash import near_duplicates
 
 #: A document is rejected if no language has at least this probability, or if it has no letters.
@@ -27,9 +27,11 @@ LEAST_SCORE = 0.5
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language."""
+    """Keeps documents that have a language; all, if there is no labelled text to learn languages from."""
     small_batches(spark)
     model = train(docs.filter(~held_out(docs["doc_id"])))
+    if model is None:
+        return docs
     judged = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
     return judged.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -57,9 +59,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets; the count of characters follows the text."""
+    import public_tokenizers
+
     small_batches(spark)
     columns = docs.columns
-    masked = redact(docs)
+    masked = redact(docs, words=vocabulary_words(public_tokenizers.path("word_bpe_49k.json")))
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*columns)
 
 
