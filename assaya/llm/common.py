@@ -59,18 +59,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left", parts: int = 1000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left", small: Column | None = None, parts: int = 10_000) -> DataFrame:
     """``rows`` joined to ``groups`` (one row for each key), although a few keys may hold most rows.
 
     A group of over ``total / parts`` rows is hot. There are fewer than ``parts``
     such groups, whatever the data, so their rows are broadcast and the rows of
-    hot keys are never dealt out by key. All others meet in a shuffled join.
+    hot keys are never dealt out by key. All others meet in a shuffled join. Where a
+    row of ``groups`` may be long, ``small`` says which may be broadcast.
     """
-    edge = max(1000, total // parts)
+    edge = max(100, total // parts)
     if total <= edge:
         return rows.join(groups, keys, how)
-    hot = F.broadcast(groups.filter(F.col(size) > edge))
-    cold = groups.filter(F.col(size) <= edge)
+    is_hot = F.col(size) > edge if small is None else (F.col(size) > edge) & small
+    hot = F.broadcast(groups.filter(is_hot))
+    cold = groups.filter(~is_hot)
     on_hot = rows.join(hot, keys, "inner")
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return on_hot.unionByName(rest)

@@ -129,9 +129,7 @@ def test_bpe_pieces_appends_and_edits(tokenizer):
     assert long.replace(5000, 5001, b"q") < 500
 
 
-def test_substring_dedup(spark, docs):
-    df, rows = docs
-    got = sorted(map(tuple, substring_dedup.substring_dedup(df).collect()), key=str)
+def brute_substrings(rows):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     first: dict = {}
     for (d, _), w in zip(rows, words, strict=True):
@@ -148,13 +146,55 @@ def test_substring_dedup(spark, docs):
                 gone[k : k + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_substring_dedup(spark, docs):
+    df, rows = docs
+    got = sorted(map(tuple, substring_dedup.substring_dedup(df).collect()), key=str)
+    want = brute_substrings(rows)
     numbered = lambda rows: [r for r in rows if r[0] is not None]
-    assert numbered(got) == numbered(sorted(want, key=str))
+    assert numbered(got) == numbered(want)
     assert sum(r[2] for r in got) > 1000
     assert len(got) == len(want)
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randint(0, 99)}" for _ in range(n))
+    passage, long = say(60), say(80)
+    rows = [(1, say(10) + " " + passage), (2, passage + " " + say(5)), (9, long + " " + passage), (9, say(7) + " " + long), (9, say(7) + " " + long), (9, long.replace(" ", "\n")), (9, long), (7, "short"), (12, long + " x"), (12, None)]
+    got = sorted(map(tuple, substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_substrings(rows)
+
+
+def test_substring_dedup_of_a_common_passage(spark, monkeypatch):
+    """A passage in every document, in as many contexts, and phrases too long to broadcast."""
+    monkeypatch.setattr(substring_dedup, "HOT_PHRASE", 30)
+    rng = random.Random(12)
+    passage = " ".join(f"{'y' * (k % 9)}p{k % 13}" for k in range(55))
+    rows = [(k, f"{rng.random()} " * rng.randint(0, 3) + passage + f" {rng.random()}" * rng.randint(0, 60)) for k in range(400)]
+    got = sorted(map(tuple, substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_substrings(rows)
+
+
+def test_substring_removal_comes_from_the_automaton():
+    rng = random.Random(3)
+    words = [b"w%d" % rng.randint(0, 999) for _ in range(120)]
+    body, at, found = substring_dedup.runs(words)
+    at = at.tolist()
+    place, first, end, mark = found[1]
+    phrase = bytes(body[at[place] : at[place + 8] - 1])
+    whole = {mark: {substring_dedup.context_key(body[at[first] : at[end + 49] - 1], (place - first) << 6 | (end + 49 - place))}}
+    passage = {substring_dedup.window_key(body[at[first] : at[first + 50] - 1], place - first)}
+    automaton = substring_dedup.automaton_of([(mark, phrase), (5, b"no such phrase at all in any of it")])
+    assert np.flatnonzero(substring_dedup.covered(words, automaton, whole, set(), set())).tolist() == list(range(first, end + 49))
+    assert np.flatnonzero(substring_dedup.covered(words, automaton, {}, {mark}, passage)).tolist() == list(range(first, first + 50))
+    without = substring_dedup.automaton_of([(5, phrase[:-1])])
+    assert not substring_dedup.covered(words, without, whole, {mark}, passage).any()
+
+
 def brute_components(rows):
     prints = []
     for _, t in rows:
