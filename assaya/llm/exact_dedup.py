@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaya.llm.common import ascii_lower, join_groups, read_table, written
+from assaya.llm.common import ascii_lower, join_groups, read_table, scratch, written
 
 #: Digests that one filter holds at most, on average.
 SHARD_KEYS = 50_000
@@ -138,16 +138,31 @@ def _uint64(keys: pd.Series) -> np.ndarray:
 
 
 class Snapshot:
-    """An immutable set of digest buckets with one filter for each shard."""
+    """An immutable set of digest buckets with one filter for each shard, which can be written once and read for every batch."""
 
-    def __init__(self, rows: DataFrame, n_rows: int):
-        self.shards = max(1, -(-n_rows // SHARD_KEYS))
-        self.buckets = buckets(rows)
+    def __init__(self, buckets: DataFrame, filters: DataFrame, shards: int):
+        self.buckets, self.filters, self.shards = buckets, filters, shards
+
+    @classmethod
+    def build(cls, rows: DataFrame, n_rows: int) -> Snapshot:
+        shards = max(1, -(-n_rows // SHARD_KEYS))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [BinaryFuse8.build(_uint64(pdf["key"])).to_bytes()]})
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "shards": [shards], "filter": [BinaryFuse8.build(_uint64(pdf["key"])).to_bytes()]})
+
+        held = buckets(rows)
+        keyed = _with_shard(held, shards).select("shard", "key")
+        return cls(held, keyed.groupBy("shard").applyInPandas(build, "shard long, shards long, filter binary"), shards)
 
-        self.filters = _with_shard(self.buckets, self.shards).select("shard", "key").groupBy("shard").applyInPandas(build, "shard long, filter binary")
+    def write(self, path: str) -> None:
+        self.buckets.write.parquet(f"{path}/buckets")
+        self.filters.write.parquet(f"{path}/filters")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Snapshot:
+        filters = spark.read.parquet(f"{path}/filters")
+        one = filters.select("shards").limit(1).collect()
+        return cls(spark.read.parquet(f"{path}/buckets"), filters, one[0]["shards"] if one else 1)
 
     def screen(self, batch: DataFrame) -> DataFrame:
         """The buckets of a batch whose digest the snapshot may hold; a digest that it holds is never missing."""
@@ -174,11 +189,12 @@ def _only_repeated(hashed: DataFrame, groups: DataFrame) -> DataFrame:
     return hashed.withColumn("key", F.xxhash64("digest")).join(F.broadcast(keys), "key", "left_semi").drop("key")
 
 
-def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None, stored: Snapshot | None = None) -> DataFrame:
     """One row per row of ``docs`` (and of ``snapshot``): doc_id, keep_id, group_size, kept, text_sha256.
 
     Without a ``snapshot``, the lower half of the id range of ``docs`` stands for
-    the immutable snapshot and the upper half for the batch that comes in.
+    the immutable snapshot and the upper half for the batch that comes in. ``stored``
+    are the buckets and filters of ``snapshot``, if they were written before.
     """
     spark = docs.sparkSession
     if snapshot is None:
@@ -195,7 +211,11 @@ def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFrame
     if not total:
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
 
-    old = Snapshot(marked.filter("not incoming"), total)
+    if stored is None:
+        path = scratch(spark, "exact-snapshot")
+        Snapshot.build(marked.filter("not incoming"), total).write(path)
+        stored = Snapshot.read(spark, path)
+    old = stored
     new = buckets(marked.filter("incoming"))
     positive = old.screen(new)
     met = positive.join(old.buckets.select("digest", F.col("top_id").alias("old_id"), F.col("n").alias("old_n")), "digest")

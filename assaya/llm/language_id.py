@@ -3,7 +3,8 @@
 Texts are lower-cased, everything but letters counts as one blank, and n-grams of
 one to three characters are hashed to 2**BITS buckets. The log-probability matrix
 (buckets by languages, under MAX_MODEL_MB) is broadcast; a batch of texts is
-scored at once by gathering rows and adding them up between text boundaries.
+scored at once by gathering rows and adding them up between text boundaries. The
+languages' prior is uniform.
 
 The classifier learns from a bounded sample: at most about SAMPLE_PER_LANG
 documents of each language, chosen by a hash of doc_id.
@@ -30,7 +31,7 @@ from assaya.llm.common import read_table
 BITS, ORDERS = 15, 3
 SAMPLE_PER_LANG = 4000
 MAX_MODEL_MB = 64
-#: Characters that are scored together.
+#: Characters that are scored together; longer texts are scored in segments.
 CHUNK = 1 << 20
 
 
@@ -39,37 +40,51 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK characters."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > CHUNK:
-            yield start, k
-            start, size = k, 0
-        size += len(text) + 2
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the bucket at each character; where each text starts; how many letters it has.
+def _segments(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Lower-cased texts between blanks, cut to segments of at most CHUNK characters, about CHUNK of them at a time.
 
-    Each text stands between blanks of its own, so no n-gram spans two texts.
+    Gives the number of each segment's text, the segment after the characters that
+    stand before it, and how many of its first characters only serve as those.
+    """
+    owners, parts, leads, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        whole = f" {text.lower()} "
+        for start in range(1, len(whole), CHUNK):
+            lead = min(start, ORDERS - 1)
+            part = whole[start - lead : start + CHUNK]
+            if size and size + len(part) > CHUNK:
+                yield owners, parts, leads
+                owners, parts, leads, size = [], [], [], 0
+            owners.append(k)
+            parts.append(part)
+            leads.append(lead)
+            size += len(part)
+    if parts:
+        yield owners, parts, leads
+
+
+def grams(parts: list[str], leads: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the bucket at each character but the leads; where each part starts among them; how many letters it has.
+
+    Each text begins after a blank and ends with one, so no n-gram spans two texts.
     """
-    parts = [f" {x.lower()} " for x in texts]
-    sizes = np.array([len(x) for x in parts])
+    sizes, lead = np.array([len(x) for x in parts]), np.array(leads)
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    own = np.ones(len(codes), bool)
+    for k in range(ORDERS - 1):
+        own[begins[lead > k] + k] = False
+    starts = np.concatenate([[0], np.cumsum(sizes - lead)[:-1]]).astype(np.int64)
     letter = _letters()[codes]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     codes = np.where(letter, codes, 32).astype(np.uint32)
-    n_letters = np.add.reduceat(letter.astype(np.int64), starts)
+    n_letters = np.add.reduceat(letter[own].astype(np.int64), starts)
     out, value = [], codes.copy()
     for order in range(ORDERS):
         if order:
             before = np.concatenate([np.full(order, 32, np.uint32), codes[:-order]])
             value = value * np.uint32(0x9E3779B1) + before
         mixed = (value ^ (value >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(order)
-        out.append(((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)).astype(np.int32))
+        out.append(((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)).astype(np.int32)[own])
     return out, starts, n_letters
 
 
@@ -80,18 +95,15 @@ class Model:
         self.langs, self.matrix = langs, matrix
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        names: list[str] = []
-        scores: list[float] = []
-        for a, b in _chunks(texts):
-            buckets, starts, n_letters = grams(texts[a:b])
-            total = np.zeros((b - a, len(self.langs)))
+        total, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for owners, parts, leads in _segments(texts):
+            buckets, starts, n_letters = grams(parts, leads)
+            np.add.at(letters, owners, n_letters)
             for x in buckets:
-                total += np.add.reduceat(self.matrix[x], starts, axis=0, dtype=np.float64)
-            best = total.argmax(1)
-            score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            names += [self.langs[k] if n else "und" for k, n in zip(best, n_letters, strict=True)]
-            scores += np.where(n_letters > 0, score, 0.0).tolist()
-        return names, scores
+                np.add.at(total, owners, np.add.reduceat(self.matrix[x], starts, axis=0, dtype=np.float64))
+        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        names = [self.langs[k] if n else "und" for k, n in zip(total.argmax(1), letters, strict=True)]
+        return names, np.where(letters > 0, score, 0.0).tolist()
 
 
 def train(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
@@ -113,8 +125,8 @@ def train(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
             for lang in set(names):
                 own = [t for t, x in zip(texts, names, strict=True) if x == lang]
                 sums = held.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                for a, b in _chunks(own):
-                    for x in grams(own[a:b])[0]:
+                for _, parts, leads in _segments(own):
+                    for x in grams(parts, leads)[0]:
                         sums += np.bincount(x, minlength=1 << BITS)
         for lang, sums in held.items():
             at = np.flatnonzero(sums)

@@ -68,13 +68,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def cells(fps: np.ndarray) -> np.ndarray:
-    """(grids, points): the cell of each point in the grid of each choice of BANDS - RADIUS bands."""
+def bands_for(points: int) -> int:
+    """More bands make more grids of smaller cells; every choice finds all links."""
+    return BANDS + (points > 1 << 24) + (points > 1 << 28)
+
+
+def cells(fps: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """(grids, points): the cell of each point in the grid of each choice of ``bands`` - RADIUS bands."""
     width = 64 // SEGMENTS
     counts = np.stack([np.bitwise_count(fps >> np.uint64(s * width) & np.uint64((1 << width) - 1)) for s in range(SEGMENTS)]).astype(np.uint64)
-    edges = [SEGMENTS * b // BANDS for b in range(BANDS + 1)]
+    edges = [SEGMENTS * b // bands for b in range(bands + 1)]
     out = []
-    for number, chosen in enumerate(combinations(range(BANDS), BANDS - RADIUS)):
+    for number, chosen in enumerate(combinations(range(bands), bands - RADIUS)):
         value = np.full(len(fps), number, np.uint64)
         for b in chosen:
             for s in range(edges[b], edges[b + 1]):
@@ -118,13 +123,14 @@ def links(cell: np.ndarray, own: np.ndarray, fps: np.ndarray, radius: int = RADI
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def linked(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(points: DataFrame, radius: int = RADIUS, bands: int | None = None) -> DataFrame:
     """(a, b) links between ids of ``points`` (v: its id, fp: its fingerprint), enough to connect what is linked."""
+    bands = bands or bands_for(points.count())
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, fp = np.asarray(batch.column("v")), np.asarray(batch.column("fp"))
-            grid = cells(fp.astype(np.uint64))
+            grid = cells(fp.astype(np.uint64), bands)
             n = len(grid)
             yield pa.RecordBatch.from_arrays([pa.array(grid.astype(np.int64).ravel()), pa.array(np.tile(v, n)), pa.array(np.tile(fp, n))], names=["cell", "v", "fp"])
 
@@ -164,17 +170,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     written table; nothing but a count goes to the driver.
     """
     both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))), "components-edges")
-    label = written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("c")), "components-labels")
+    ends = both.count()
+    label = written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("c"), F.count(F.lit(1)).alias("degree")), "components-labels")
+    total = label.count()
     for _ in range(rounds):
-        # Labels travel to neighbours; what a label itself is labelled is a hop on.
-        near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("c").alias("n"))
-        low = label.join(near, "v").select("v", F.least("c", "n").alias("m"), F.col("c").alias("was"))
-        hop = label.select(F.col("v").alias("m"), F.col("c").alias("cc"))
-        fresh = written(low.join(hop, "m", "left").select("v", F.least("m", F.coalesce("cc", "m")).alias("c"), "was"), "components-labels")
+        # Labels travel to neighbours; what a label itself is labelled is a hop on. Ids of many edges and labels of many ids are no hot keys.
+        sent = join_groups(both, label.withColumnRenamed("v", "w"), ["w"], "degree", ends, "inner")
+        low = label.join(sent.groupBy("v").agg(F.min("c").alias("n")), "v").select("v", "degree", F.least("c", "n").alias("m"), F.col("c").alias("was"))
+        low = written(low, "components-low")
+        hop = low.groupBy("m").agg(F.count(F.lit(1)).alias("held")).join(label.select(F.col("v").alias("m"), F.col("c").alias("cc")), "m", "left")
+        hop = hop.select("m", "held", F.coalesce("cc", "m").alias("cc"))
+        fresh = written(join_groups(low, hop, ["m"], "held", total, "inner").select("v", "degree", F.least("m", "cc").alias("c"), "was"), "components-labels")
         moved = fresh.filter("c <> was").limit(1).count()
-        label = fresh.select("v", "c")
+        label = fresh.drop("was")
         if not moved:
-            return label.withColumnRenamed("c", "component")
+            return label.select("v", F.col("c").alias("component"))
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 

@@ -69,10 +69,15 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_exact_dedup_with_snapshot(spark):
+def test_exact_dedup_with_snapshot(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (3, "c")], "doc_id long, text string")
     new = spark.createDataFrame([(4, "b"), (5, "d"), (6, "d"), (7, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(new, old).collect()}
+    path = f"file://{tmp_path}/snapshot"
+    exact_dedup.Snapshot.build(exact_dedup.digests(old), 4).write(path)
+    stored = exact_dedup.Snapshot.read(spark, path)
+    ways = [{(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(new, old, x).collect()} for x in (None, stored)]
+    assert ways[0] == ways[1]
+    got = ways[0]
     assert got == {(1, 1, 1), (2, 4, 2), (3, 3, 2), (4, 4, 2), (5, 6, 2), (6, 6, 2), (7, 7, 1)}
 
 
@@ -239,7 +244,9 @@ def test_simhash_links(spark, monkeypatch):
                 base ^= 1 << rng.randrange(64)
     points = list(dict.fromkeys(points))
     df = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(points)], "v long, fp long")
-    got = {r.v: r.component for r in simhash.components(simhash.linked(df)).collect()}
+    ways = [{r.v: r.component for r in simhash.components(simhash.linked(df, bands=b)).collect()} for b in (6, 7, 8)]
+    assert ways[0] == ways[1] == ways[2]
+    got = ways[0]
     left, want = set(range(len(points))), {}
     while left:
         todo, comp = [left.pop()], []
@@ -253,6 +260,13 @@ def test_simhash_links(spark, monkeypatch):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_components_of_stars(spark):
+    """An id of many edges, and a component of many ids, are no key of one task."""
+    edges = spark.createDataFrame([(5, k) for k in range(10, 700)] + [(1000 + k, 2000) for k in range(150)] + [(2000, 699)], "a long, b long")
+    got = {r.v: r.component for r in simhash.components(edges).collect()}
+    assert set(got.values()) == {5} and len(got) == 842
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 200), (200, 100)], "a long, b long")
     got = {r.v: r.component for r in simhash.components(edges).collect()}
@@ -524,6 +538,42 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_scores_are_those_of_a_plain_naive_bayes(spark, monkeypatch):
+    rng = random.Random(7)
+    say = {"en": ["the", "house", "sea", "and"], "fr": ["la", "maison", "où", "mer"], "de": ["das", "Haus", "über", "Straße"]}
+    rows = [(k, " ".join(rng.choices(say[lang], k=rng.randint(1, 30))) + "! 12", lang) for k, lang in enumerate(["en", "fr", "de"] * 20)]
+    df = spark.createDataFrame([*rows, (90, None, "en"), (91, "the", None)], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+
+    def bucket(gram, order):
+        """The hash of a gram, latest character first."""
+        m, value = (1 << 32) - 1, 0
+        for k, c in enumerate(gram):
+            value = c if k == 0 else (value * 0x9E3779B1 + c) & m
+        mixed = ((value ^ value >> 15) * 0x85EBCA6B + order) & m
+        return ((mixed ^ mixed >> 13) * 0xC2B2AE35 & m) >> 32 - language_id.BITS
+
+    def grams(text):
+        codes = [32, 32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+        return [bucket([codes[i - k] for k in range(order + 1)], order) for i in range(2, len(codes)) for order in range(language_id.ORDERS)]
+
+    counts = {lang: np.full(1 << language_id.BITS, 0.5) for lang in model.langs}
+    for _, text, lang in rows:
+        for x in grams(text):
+            counts[lang][x] += 1
+    texts = ["the maison", "Haus", "", "12", "où est la mer", "the house " * 300, "Straße x"]
+    for chunk in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        names, scores = model.predict(texts)
+        for text, name, score in zip(texts, names, scores, strict=True):
+            logs = [sum(np.log(counts[lang][x] / counts[lang].sum()) for x in grams(text)) for lang in model.langs]
+            share = np.exp(np.array(logs) - max(logs))
+            if any(c.isalpha() for c in text):
+                assert name == model.langs[int(np.argmax(logs))] and abs(score - 1 / share.sum()) < 1e-4
+            else:
+                assert (name, score) == ("und", 0.0)
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
