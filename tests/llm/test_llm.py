@@ -301,16 +301,55 @@ def test_vector_search(spark):
     assert vector_search.search(few.limit(0)).count() == 0
 
 
-def test_adaptive_scan_keeps_the_near():
+def scanned(vectors, queries, epsilon=vector_search.EPSILON):
+    """Recall of the 11 nearest against brute force, and the share of pairs that were abandoned."""
+    dim, n = vectors.shape[1], len(vectors)
+    first, _ = vector_search.search_part(np.zeros(n // 10, int), vectors[: n // 10], np.arange(n // 10), queries, [np.zeros(1, int)] * len(queries), np.full(len(queries), np.inf), vector_search.rotation(dim), 11, epsilon)
+    found, counts = vector_search.search_part(np.zeros(n, int), vectors, np.arange(n), queries, [np.zeros(1, int)] * len(queries), first.worst, vector_search.rotation(dim), 11, epsilon)
+    assert counts[0] == n * len(queries)
+    hits = 0
+    for q, own in enumerate(queries):
+        near = np.argsort(((vectors - own) ** 2).sum(1), kind="stable")[:11]
+        hits += len(set(near.tolist()) & set(found.place[found.query == q].tolist()))
+    return hits / (11 * len(queries)), 1 - counts[1] / counts[0]
+
+
+def test_adaptive_scan():
     rng = np.random.default_rng(1)
-    vectors = rng.standard_normal((2000, 64))
     spin = vector_search.rotation(64)
     assert np.allclose(spin @ spin.T, np.eye(64))
-    found = 0
-    for _, places, far in vector_search.search_list(vectors[:20], vectors, spin, 11):
-        found += len(places)
-        assert np.isclose(far.min(), 0)
-    assert found >= 20 * 10
+    even = rng.standard_normal((4000, 64))
+    for vectors in (even, even * np.linspace(2, 0.1, 64), even + 3 * rng.standard_normal((20, 64))[rng.integers(0, 20, 4000)]):
+        recall, abandoned = scanned(vectors, vectors[:40])
+        assert recall > 0.97 and abandoned > 0.5, (recall, abandoned)
+        assert scanned(vectors, vectors[:5], epsilon=1e9)[0] == 1.0
+
+
+def test_parts_of_lists():
+    table = vector_search.parts_of({0: 3, 1: 4, 2: 25, 4: 9, 5: 1, 6: 8}, 8, 10)
+    assert table.tolist() == [[0, 1], [0, 1], [1, 3], [4, 1], [4, 1], [4, 1], [5, 1], [5, 1]]
+
+
+def test_vector_search_in_many_parts(spark, monkeypatch):
+    """Parts and chunks of queries so small that all are split, a common vector, repeated ids."""
+    monkeypatch.setattr(vector_search, "PART_BYTES", 1)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((2500, 4)).astype("f4").tolist()
+    rows = [(k, vectors[k]) for k in range(2500)] + [(2500 + k, vectors[7]) for k in range(700)] + [(40, vectors[8]), (40, vectors[8])]
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=2, target=1.0).collect()
+    ids, every = np.array([r[0] for r in rows[:3200]]), np.array([r[1] for r in rows[:3200]], "f8")
+    hits = total = 0
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(by) == {int(k) for k in ids if k % 2 == 0}
+    for q in range(0, 3200, 2):
+        far = ((every - every[q]) ** 2).sum(1)
+        want = [int(k) for k in ids[np.lexsort((ids, far))] if k != q][:10]
+        mine = [v for _, v in sorted(by[q])][:10]
+        hits += len(set(mine) & set(want))
+        total += 10
+    assert hits / total > 0.95
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
