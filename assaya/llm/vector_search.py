@@ -11,7 +11,7 @@ measured on the original vectors in double precision.
 Lists are the cells of centroids that are fitted on a bounded sample (SAMPLE_BYTES);
 every row is indexed. Their number grows with the root of the rows (up to
 MOST_LISTS). How many of them a query probes is measured on the sample: the least
-number of nearest lists that hold TARGET of the sample's nearest neighbours. A
+number of nearest lists that hold TARGET of the neighbours of vectors held out. A
 query first searches FIRST of those lists, nearest first, and then the others with
 the limit it has from there, which tightens further inside each list.
 
@@ -44,6 +44,8 @@ SAMPLE_BYTES, MOST_LISTS, LISTS_PER_ROOT, PER_LIST = 32 << 20, 4096, 4, 32
 TARGET, FIRST = 0.96, 0.1
 BLOCK, EPSILON = 8, 2.6
 PART_BYTES, PAIRS = 16 << 20, 1 << 20
+#: Vectors of the sample that are no part of the fit and tell how many lists to probe.
+HELD_OUT = 256
 SEED = 7
 OUT = "query_id long, rank int, vec_id long, score double"
 
@@ -90,12 +92,11 @@ def nearest_lists(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET, queries: int = 256) -> int:
-    """The least number of nearest lists that hold ``target`` of the ``k`` nearest neighbours of some of the sample in it."""
+def probes_for(asked: np.ndarray, sample: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET) -> int:
+    """The least number of nearest lists that hold ``target`` of the ``k`` nearest neighbours that ``asked`` have in ``sample``."""
     own = nearest_lists(sample, centres, 1)[:, 0]
-    asked = sample[np.random.default_rng(SEED).permutation(len(sample))[:queries]]
     far = (sample**2).sum(1) - 2 * asked @ sample.T
-    near = np.argpartition(far, min(k, len(sample) - 1), axis=1)[:, : k + 1]  # the query itself is one of them
+    near = np.argpartition(far, min(k, len(sample)) - 1, axis=1)[:, :k]
     order = nearest_lists(asked, centres, len(centres))
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centres))[None, :], 1)
@@ -217,11 +218,13 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, target: flo
 
     lists = lists or (int(min(MOST_LISTS, LISTS_PER_ROOT * np.sqrt(n), n // 16)) if n > 256 else 1)
     sampled = min(SAMPLE_BYTES // (8 * dim), PER_LIST * lists)
-    some = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(min(1.0, sampled / n) * (1 << 30)) + 1)).limit(2 * sampled).select("vector")
-    sample = matrix(some.toPandas()["vector"], dim) if lists > 1 else np.zeros((0, dim))
+    some = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(min(1.0, sampled / n) * (1 << 30)) + 1)).limit(2 * sampled).select("key", "vector")
+    sample = matrix(some.toPandas().sort_values("key")["vector"], dim) if lists > 1 else np.zeros((0, dim))
+    sample = sample[np.random.default_rng(SEED).permutation(len(sample))]
     lists = max(1, min(lists, len(sample) // 8))
-    centres = fit_lists(sample, lists) if lists > 1 else np.zeros((1, dim))
-    probes = min(lists, probes_for(sample, centres, k, target)) if lists > 1 else 1
+    apart = min(HELD_OUT, len(sample) // 8)
+    centres = fit_lists(sample[apart:], lists) if lists > 1 else np.zeros((1, dim))
+    probes = min(lists, probes_for(sample[:apart], sample[apart:], centres, k, target)) if lists > 1 else 1
     first = max(1, int(np.ceil(probes * FIRST)))
     model = spark.sparkContext.broadcast((centres, rotation(dim)))  # at most MOST_LISTS + dim vectors
 
