@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,23 +100,30 @@ def normalised(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def copy_confidence(m: Column, n_flag: Column, c: Column, cov: Column, s: Column, h: Column, ms: Column, k: Column) -> Column:
     """The additive and maximum steps that turn overlap signals into a confidence (X20), capped at 1."""
     ct, vt, some = c >= 0.25, cov >= 0.24, n_flag > 0
     evidence = some | ct
-    zero = F.lit(0.0)
-    x = F.when(m >= 0.95, 0.8).otherwise(zero)
-    x = F.when(ct, F.greatest(x, F.lit(0.3) + 0.4 * F.least(c, F.lit(1.0)))).otherwise(x)
-    x = F.when(some & ~ct, F.greatest(x, F.lit(0.05) + (m - 0.8))).otherwise(x)
     b = F.least(0.08 * h, F.lit(0.3))
-    x = F.when((h > 0) & evidence, x + 0.1 + b).when((h > 0) & (ms >= 0.95), F.greatest(x, 0.2 + b)).otherwise(x)
-    x = F.when(some & (s >= 1), F.greatest(x, 0.15 + F.least(0.05 * (s - 1), F.lit(0.2)))).otherwise(x)
-    x = F.when((s >= 3) & (evidence | (s >= 6)), F.greatest(x, 0.12 + F.least(0.04 * (s - 3), F.lit(0.18)))).otherwise(x)
-    x = F.when((k > 0) & (ct | (n_flag >= 2)), x + F.least(0.1 * k, F.lit(0.25))).otherwise(x)
-    x = F.when(vt, x + 0.05).otherwise(x)
+    steps = (
+        lambda x: F.when(ct, F.greatest(x, F.lit(0.3) + 0.4 * F.least(c, F.lit(1.0)))).otherwise(x),
+        lambda x: F.when(some & ~ct, F.greatest(x, F.lit(0.05) + (m - 0.8))).otherwise(x),
+        lambda x: F.when((h > 0) & evidence, x + 0.1 + b).when((h > 0) & (ms >= 0.95), F.greatest(x, 0.2 + b)).otherwise(x),
+        lambda x: F.when(some & (s >= 1), F.greatest(x, 0.15 + F.least(0.05 * (s - 1), F.lit(0.2)))).otherwise(x),
+        lambda x: F.when((s >= 3) & (evidence | (s >= 6)), F.greatest(x, 0.12 + F.least(0.04 * (s - 3), F.lit(0.18)))).otherwise(x),
+        lambda x: F.when((k > 0) & (ct | (n_flag >= 2)), x + F.least(0.1 * k, F.lit(0.25))).otherwise(x),
+        lambda x: F.when(vt, x + 0.05).otherwise(x),
+    )
+    x = F.when(m >= 0.95, 0.8).otherwise(F.lit(0.0))
+    for step in steps:
+        x = bound(x, step)
     tiers = sum((t.cast("int") for t in (ct, (h > 0) & evidence, k > 0, m >= 0.95, some & (s >= 1), (s >= 3) & evidence)), F.lit(0))
-    x = x * F.when(tiers >= 3, 1.1 * 1.1).when(tiers >= 2, 1.1).otherwise(1.0)
-    return F.least(x, F.lit(1.0))
+    return F.least(bound(tiers, lambda t: F.when(t >= 3, 1.1 * 1.1).when(t >= 2, 1.1).otherwise(1.0)) * x, F.lit(1.0))
 
 
 def copy_severity(m: Column, c: Column, k: Column, h: Column) -> Column:

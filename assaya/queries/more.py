@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaya.functions import columns as C
+from assaya.operators import analysers as Y
 from assaya.operators import analytics as A
 from assaya.operators import findings as O
+from assaya.operators import similarity as S
 from assaya.operators import text as T
 from assaya.operators import training as R
 from assaya.queries.core import _CODES, F_SQL, IMPACT_SQL, RULES_SQL, UNIT_SQL, found, q13_set_agreement, q14_stage_survival, query, rules, table, user_hours
@@ -21,47 +23,66 @@ def q32_spec_overlap_text(spark, d):
     return T.shared_shingles(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
-SPEC = 20
-_SIMS = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT vec_id AS sid, v AS sv FROM e ORDER BY vec_id LIMIT 20), p AS (SELECT vec_id, label, sid, round(list_dot_product(v, sv) / sqrt(list_dot_product(v, v) * list_dot_product(sv, sv)), 6) AS sim FROM e JOIN s ON vec_id <> sid)"""
+# Vectors of label 0 are the specification, each other label is a document; even ids are chunks, odd ones sentences, four ids share a place.
+SHIFT, LIMITS = 0.55, {"chunk": 0.82, "cover": 0.85, "soft": 0.84, "hard": 0.87}
+SIMS_SQL = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT e.label, e.vec_id, s.vec_id AS sid, list_dot_product(e.v, s.v) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(s.v, s.v)) + 0.55 AS sim FROM e JOIN e s ON s.label = 0 AND e.label <> 0 AND s.vec_id % 2 = e.vec_id % 2),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, sid) AS nth, count(*) FILTER (WHERE sim > 0.75) OVER (PARTITION BY vec_id) AS n_over FROM p) WHERE nth = 1)"""
 
 
 def similarities(spark, d):
-    """Each vector against the first SPEC ones, a side of fixed size that is broadcast."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", C.normalised(F.col("embedding")).alias("v"))
-    spec = F.broadcast(e.orderBy("vec_id").limit(SPEC).select(F.col("vec_id").alias("sid"), F.col("v").alias("sv")))
-    return e.join(spec, F.col("vec_id") != F.col("sid")).select("vec_id", "label", "sid", F.round(C.dot(F.col("v"), F.col("sv")), 6).alias("sim"))
+    """Nearest specification units of chunks and of sentences, and the coverage of the specification's chunks."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    units, spec = e.filter("label <> 0").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("unit"), "vec"), e.filter("label = 0").select(F.col("vec_id").alias("spec_id"), "vec")
+    sides = [S.similarity_maxima(units.filter(f"unit % 2 = {k}"), spec.filter(f"spec_id % 2 = {k}"), SHIFT, 0.75) for k in (0, 1)]
+    place = F.concat(F.lit("#/texts/"), F.floor(F.col("unit") / 4).cast("string"))
+    return sides[0][0].withColumn("cref", place), sides[1][0].withColumn("cref", place), sides[0][1]
 
 
-@query(f"WITH {_SIMS} SELECT vec_id, max(sim) AS top_sim, count(*) FILTER (WHERE sim > 0.25) AS n_over FROM p GROUP BY 1")
+@query(f"WITH {SIMS_SQL} SELECT vec_id, sid AS spec_id, round(sim, 6) AS top_sim, n_over FROM r")
 def q33_embedding_similarity(spark, d):
-    return similarities(spark, d).groupBy("vec_id").agg(F.max("sim").alias("top_sim"), F.count_if(F.col("sim") > 0.25).alias("n_over"))
+    chunks, sentences, _ = similarities(spark, d)
+    return chunks.unionByName(sentences).select(F.col("unit").alias("vec_id"), "spec_id", F.round("sim", 6).alias("top_sim"), "n_over")
 
 
-_SIGNALS = f"""WITH {_SIMS}, r AS (SELECT label, vec_id, max(sim) + 0.55 AS m FROM p GROUP BY 1, 2), g AS (SELECT label, round(max(m), 4) AS m, count(*) FILTER (WHERE m > 0.8) AS f, round(count(*) FILTER (WHERE m > 0.8) / count(*)::DOUBLE, 4) AS c, count(*) FILTER (WHERE m > 0.85) AS s, count(*) FILTER (WHERE m > 0.9) AS h FROM r GROUP BY 1)"""
+SIGNALS_SQL = f"""WITH {SIMS_SQL}, ch AS (SELECT *, vec_id // 4 AS place FROM r WHERE vec_id % 2 = 0), se AS (SELECT *, vec_id // 4 AS place FROM r WHERE vec_id % 2 = 1),
+a1 AS (SELECT label, count(*) AS n, count(*) FILTER (WHERE sim > 0.82) AS f, max(sim) AS m FROM ch GROUP BY 1), a2 AS (SELECT label, avg((sim > 0.85)::INT) AS cov FROM (SELECT label, sid, max(sim) AS sim FROM p WHERE vec_id % 2 = 0 GROUP BY 1, 2) GROUP BY 1),
+a3 AS (SELECT label, count(*) FILTER (WHERE sim > 0.84) AS s, count(*) FILTER (WHERE sim > 0.87) AS h, max(sim) AS ms FROM se GROUP BY 1), a4 AS (SELECT label, count(*) AS k FROM ch WHERE sim > 0.82 AND (label, place) IN (SELECT (label, place) FROM se WHERE sim > 0.87) GROUP BY 1),
+g AS (SELECT a1.label, n, f, m, f / n::DOUBLE AS c, coalesce(cov, 0) AS cov, coalesce(s, 0) AS s, coalesce(h, 0) AS h, coalesce(ms, 0) AS ms, coalesce(k, 0) AS k FROM a1 LEFT JOIN a2 USING (label) LEFT JOIN a3 USING (label) LEFT JOIN a4 USING (label) WHERE n >= 3)"""
+CONFIDENCE_SQL = SIGNALS_SQL + """, a AS (SELECT *, c >= 0.25 AS ct, f > 0 OR c >= 0.25 AS ev, least(0.08 * h, 0.3) AS b FROM g),
+x1 AS (SELECT *, CASE WHEN m >= 0.95 THEN 0.8 ELSE 0.0 END::DOUBLE AS x FROM a), x2 AS (SELECT * REPLACE (CASE WHEN ct THEN greatest(x, 0.3 + 0.4 * least(c, 1.0)) ELSE x END AS x) FROM x1),
+x3 AS (SELECT * REPLACE (CASE WHEN f > 0 AND NOT ct THEN greatest(x, 0.05 + (m - 0.8)) ELSE x END AS x) FROM x2), x4 AS (SELECT * REPLACE (CASE WHEN h > 0 AND ev THEN x + 0.1 + b WHEN h > 0 AND ms >= 0.95 THEN greatest(x, 0.2 + b) ELSE x END AS x) FROM x3),
+x5 AS (SELECT * REPLACE (CASE WHEN f > 0 AND s >= 1 THEN greatest(x, 0.15 + least(0.05 * (s - 1), 0.2)) ELSE x END AS x) FROM x4), x6 AS (SELECT * REPLACE (CASE WHEN s >= 3 AND (ev OR s >= 6) THEN greatest(x, 0.12 + least(0.04 * (s - 3), 0.18)) ELSE x END AS x) FROM x5),
+x7 AS (SELECT * REPLACE (CASE WHEN k > 0 AND (ct OR f >= 2) THEN x + least(0.1 * k, 0.25) ELSE x END AS x) FROM x6), x8 AS (SELECT * REPLACE (CASE WHEN cov >= 0.24 THEN x + 0.05 ELSE x END AS x), ct::INT + (h > 0 AND ev)::INT + (k > 0)::INT + (m >= 0.95)::INT + (f > 0 AND s >= 1)::INT + (s >= 3 AND ev)::INT AS t FROM x7),
+x9 AS (SELECT *, round(least(x * CASE WHEN t >= 3 THEN 1.21 WHEN t >= 2 THEN 1.1 ELSE 1.0 END, 1.0)::DOUBLE, 8) AS confidence,
+round(CASE WHEN m >= 0.95 THEN least(0.85 + 0.15 * c, 1.0) WHEN ct AND k > 0 THEN least(0.6 + 0.3 * c, 0.9) WHEN ct THEN least(0.4 + 0.3 * c, 0.75) WHEN h > 0 THEN least(0.3 + 0.05 * h, 0.6) ELSE 0.2 END::DOUBLE, 8) AS severity FROM x8)"""
 
 
-def signals(spark, d):
-    """Overlap signals of each label's vectors."""
-    rows = similarities(spark, d).groupBy("label", "vec_id").agg((F.max("sim") + 0.55).alias("m"))
-    return rows.groupBy("label").agg(F.round(F.max("m"), 4).alias("m"), F.count_if(F.col("m") > 0.8).alias("f"), F.round(F.count_if(F.col("m") > 0.8) / F.count(F.lit(1)), 4).alias("c"), F.count_if(F.col("m") > 0.85).alias("s"), F.count_if(F.col("m") > 0.9).alias("h"))
+# Signals of overlap with coverage and sentences (A37, J11, J12) and what follows from them.
+@query(CONFIDENCE_SQL + " SELECT label, f, s, h, k, round(m, 6) AS m, round(ms, 6) AS ms, round(c, 6) AS c, round(cov, 6) AS cov, confidence, severity FROM x9")
+def q34_copy_confidence(spark, d):
+    chunks, sentences, coverage = similarities(spark, d)
+    g = Y.copy_signals(chunks, sentences, coverage, LIMITS)
+    m, f, c, cov, s, h, ms, k = (F.col(x) for x in ("m", "f", "c", "cov", "s", "h", "ms", "k"))
+    g = g.withColumns({"confidence": F.round(C.copy_confidence(m, f, c, cov, s, h, ms, k), 8), "severity": F.round(C.copy_severity(m, c, k, h), 8)})
+    r = lambda x: F.round(x, 6).alias(x)
+    return g.select(F.col("doc_id").alias("label"), f, s, h, k, r("m"), r("ms"), r("c"), r("cov"), "confidence", "severity")
 
 
-@query(_SIGNALS + """, a AS (SELECT *, c >= 0.25 AS ct, f > 0 OR c >= 0.25 AS ev, least(0.08 * h, 0.3) AS b, s % 3 AS k FROM g),
-x1 AS (SELECT *, CASE WHEN m >= 0.95 THEN 0.8 ELSE 0.0 END::DOUBLE AS x FROM a), x2 AS (SELECT * REPLACE (CASE WHEN ct THEN greatest(x, 0.3 + 0.4 * least(c, 1.0)) ELSE x END AS x) FROM x1),
-x3 AS (SELECT * REPLACE (CASE WHEN f > 0 AND NOT ct THEN greatest(x, 0.05 + (m - 0.8)) ELSE x END AS x) FROM x2), x4 AS (SELECT * REPLACE (CASE WHEN h > 0 AND ev THEN x + 0.1 + b WHEN h > 0 AND m >= 0.95 THEN greatest(x, 0.2 + b) ELSE x END AS x) FROM x3),
-x5 AS (SELECT * REPLACE (CASE WHEN f > 0 AND s >= 1 THEN greatest(x, 0.15 + least(0.05 * (s - 1), 0.2)) ELSE x END AS x) FROM x4), x6 AS (SELECT * REPLACE (CASE WHEN s >= 3 AND (ev OR s >= 6) THEN greatest(x, 0.12 + least(0.04 * (s - 3), 0.18)) ELSE x END AS x) FROM x5),
-x7 AS (SELECT * REPLACE (CASE WHEN k > 0 AND (ct OR f >= 2) THEN x + least(0.1 * k, 0.25) ELSE x END AS x) FROM x6), x8 AS (SELECT * REPLACE (CASE WHEN c >= 0.24 THEN x + 0.05 ELSE x END AS x), ct::INT + (h > 0 AND ev)::INT + (k > 0)::INT + (m >= 0.95)::INT + (f > 0 AND s >= 1)::INT + (s >= 3 AND ev)::INT AS t FROM x7)
-SELECT label, round(least(x * CASE WHEN t >= 3 THEN 1.21 WHEN t >= 2 THEN 1.1 ELSE 1.0 END, 1.0)::DOUBLE, 8) AS confidence,
-round(CASE WHEN m >= 0.95 THEN least(0.85 + 0.15 * c, 1.0) WHEN ct AND k > 0 THEN least(0.6 + 0.3 * c, 0.9) WHEN ct THEN least(0.4 + 0.3 * c, 0.75) WHEN h > 0 THEN least(0.3 + 0.05 * h, 0.6) ELSE 0.2 END::DOUBLE, 8) AS severity FROM x8""")
-def q34_copy_confidence(spark, d):
-    g = signals(spark, d).withColumn("k", F.col("s") % 3)
-    m, f, c, s, h, k = (F.col(x) for x in "mfcshk")
-    return g.select("label", F.round(C.copy_confidence(m, f, c, c, s, h, m, k), 8).alias("confidence"), F.round(C.copy_severity(m, c, k, h), 8).alias("severity"))
+_EVIDENCE_SQL = """v AS (SELECT label, place, 0 AS rank, sim, vec_id, sid FROM ch WHERE sim > 0.82 UNION ALL SELECT label, place, 1, sim, vec_id, sid FROM se WHERE sim > 0.87),
+v1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, place ORDER BY rank, sim DESC, 'u' || vec_id) AS one FROM v) WHERE one = 1), v2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rank, sim DESC, 'u' || vec_id) AS nth FROM v1) WHERE nth <= 5)"""
+
+
+def evidence(chunks, sentences):
+    named = [x.filter(F.col("sim") > LIMITS[at]).withColumn("label", F.lit(kind)) for x, at, kind in ((chunks, "chunk", "sim"), (sentences, "hard", "sent_sim"))]
+    return named[0].unionByName(named[1]).withColumns({"text": F.concat(F.lit("u"), F.col("unit").cast("string")), "spec_text": F.concat(F.lit("s"), F.col("spec_id").cast("string"))})
 
 
-@query(f"WITH {_SIMS}, r AS (SELECT label, vec_id, sid, sim, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id, sid) AS rank FROM p) SELECT label, CAST(rank AS INT) AS rank, vec_id, sid, sim FROM r WHERE rank <= 5")
+@query(SIGNALS_SQL + f", {_EVIDENCE_SQL} SELECT label, CAST(nth AS INT) AS rank, '#/texts/' || place AS cref, vec_id, sid AS spec_id, round(sim, 6) AS sim FROM v2")
 def q35_top_evidence(spark, d):
-    return A.top_by(similarities(spark, d), ["label"], [F.desc("sim"), F.col("vec_id"), F.col("sid")], 5).select("label", "rank", "vec_id", "sid", "sim")
+    chunks, sentences, _ = similarities(spark, d)
+    order = [F.col("label") != "sim", F.desc("sim"), F.col("text")]
+    one = O.first_by(evidence(chunks, sentences), ["doc_id", "cref"], order)
+    return A.top_by(one, ["doc_id"], order, 5).select(F.col("doc_id").alias("label"), "rank", "cref", F.col("unit").alias("vec_id"), "spec_id", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT {UNIT_SQL} AS unit, event_type FROM events), n AS (SELECT count(DISTINCT unit) AS n FROM p), s AS (SELECT event_type, count(*) AS c FROM p GROUP BY 1),

@@ -17,7 +17,7 @@ def count():
 
 
 # Known maxima by year and variant (J1, F3, F19, SRC6, R1).
-_MAXIMA = [(y, v, p) for a, b, v, p in V.MAX_DOC_POINTS for y in range(a, b + 1)]
+_MAXIMA = V.MAX_DOC_POINTS
 
 
 @query(f"""WITH m AS (SELECT * FROM (VALUES {", ".join(f"({y}, '{v}', {p})" for y, v, p in _MAXIMA)}) AS m(year, variant, points)),
