@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from assaya import fixed_values as V
 
@@ -265,3 +266,36 @@ def student_metrics(df: DataFrame) -> DataFrame:
     share = lambda of: F.when(number[of] > 0, number["overlap_count"] / number[of])
     pair = F.concat(F.coalesce("generator_models", F.lit("")), F.lit(" | "), F.coalesce("judge_models", F.lit("")))
     return df.withColumns({"student_precision": share("tool_code_count"), "student_recall": share("gold_code_count"), "abs_points_delta": F.abs(number["points_delta"]), "abs_points_delta_pct": F.abs(number["points_delta_pct"]), "grader_judge_pair": pair})
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value, c, d = 1.0, 1.0, 0.0
+    for k in range(2000):
+        m = k // 2
+        if k == 0:
+            term = 1.0
+        elif k % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 + term * d
+        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+        c = 1 + term / c if k else 1e300
+        c = c if abs(c) > 1e-300 else 1e-300
+        value *= c * d if k else d
+        if k > 2 and abs(1 - c * d) < 1e-14:
+            break
+    return front * value
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    """The two-sided p-value of Pearson's r over n pairs (A16), of aggregated rows; null below three pairs."""
+    known = lambda r, n: not pd.isna(r) and not pd.isna(n) and n >= 3
+    return pd.Series([beta_share(max(0.0, 1 - a * a), (m - 2) / 2, 0.5) if known(a, m) else None for a, m in zip(r, n, strict=True)], dtype="float64")

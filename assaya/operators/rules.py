@@ -1,4 +1,4 @@
-"""Rules of single analysers, and where a rule is run."""
+"""Rules of single analysers, and where a rule is run."""
 
 from __future__ import annotations
 
@@ -32,5 +32,5 @@ def backend_route(backend: Column, needs_pages: Column, n_pages: Column) -> Colu
 
 
 def known_codes(findings: DataFrame, rules: DataFrame, code: str) -> DataFrame:
-    """Findings whose code the rulebook has (F11); the rulebook is a dimension of at most some hundred rows."""
-    return findings.join(F.broadcast(rules.select(F.col("ac_code").alias(code)).distinct()), code, "left_semi")
+    """Findings whose code the rulebook has."""
+    return findings.join(rules.select(F.col("ac_code").alias(code)).distinct(), code, "left_semi")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ def dedup_by_content(rows: DataFrame, content: str, order: list[Column]) -> Data
     return first_by(rows.withColumn("content_hash", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256)), ["content_hash"], order)
 
 
-def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.8, valid: float = 0.2) -> DataFrame:
+def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.8, valid: float = 0.2, rounded_up: bool = False) -> DataFrame:
     """Each group to train, valid or test by its place in the order of a salted hash (W13): cuts at whole numbers.
 
     Places are counted within the 4096 first parts of a hash; only the counts of these parts are added up in one task.
@@ -24,6 +27,8 @@ def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.8, vali
     before = sizes.select("part", (F.sum("size").over(whole) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("n"))
     at = F.row_number().over(Window.partitionBy("part").orderBy("h", key)) - 1 + F.col("before")
     placed = hashed.join(F.broadcast(before), "part").withColumn("at", at)
+    if rounded_up:  # of two parts the second
+        return placed.select(key, F.when(F.col("at") < F.col("n") - F.ceil(F.col("n") * valid), "train").otherwise("test").alias("split"))
     cut_1, cut_2 = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + valid))
     return placed.select(key, F.when(F.col("at") < cut_1, "train").when(F.col("at") < cut_2, "valid").otherwise("test").alias("split"))
 
@@ -46,3 +51,26 @@ def audit_results(results: DataFrame) -> DataFrame:
 def within_size(files: DataFrame, most: int = 10 * 1024 * 1024) -> DataFrame:
     """Images that a training request may hold (E11); ``length`` is what a listing gives, so no content is read."""
     return files.filter((F.col("length") > 0) & (F.col("length") <= most))
+
+
+def random_split(rows: DataFrame, key: str, seed: str, test: float = 0.2) -> DataFrame:
+    """Single rows to train or test by the place in the order of a salted hash (W14); the share of the test part is rounded up."""
+    return group_split(rows, key, seed, 1 - test, test, rounded_up=True)
+
+
+def token_counts(docs: DataFrame, most: int, tokenizer: str | None = None) -> DataFrame:
+    """Tokens of the first ``most`` documents of each format md and pdf (E8): by a tokenizer's file, else words."""
+    some = docs.filter(F.col("format").isin("md", "pdf")).withColumn("__at", F.row_number().over(Window.partitionBy("format").orderBy("doc_id"))).filter(F.col("__at") <= most).drop("__at")
+    if tokenizer is None:
+        return some.withColumn("tokens", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))
+    with open(tokenizer, encoding="utf-8") as f:
+        model = f.read()
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(model)
+        for texts in batches:
+            yield pd.Series([len(x.ids) for x in own.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+
+    return some.withColumn("tokens", F.pandas_udf(count, "long")("text"))

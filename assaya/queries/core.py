@@ -72,7 +72,7 @@ _DECISION = "CASE event_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'adjusted' WHE
 
 
 @query(f"""WITH {F_SQL}, v AS (SELECT event_id, {_DECISION} AS decision, CASE WHEN event_id % 10 < 5 THEN 0.5 END AS s FROM f WHERE event_id % 5 < 3)
-SELECT coalesce(decision, 'to_be_judged') AS judge_status, count(*) AS n, round(sum(CASE WHEN decision = 'adjusted' THEN coalesce(s, k / 99.0::DOUBLE) ELSE k / 99.0::DOUBLE END), 3) AS severity
+SELECT coalesce('judged_' || decision, 'to_be_judged') AS judge_status, count(*) AS n, round(sum(CASE WHEN decision = 'adjusted' THEN coalesce(s, k / 99.0::DOUBLE) ELSE k / 99.0::DOUBLE END), 3) AS severity
 FROM f LEFT JOIN v USING (event_id) GROUP BY 1""")
 def q03_judge_apply(spark, d):
     f = found(spark, d).withColumn("judge_status", F.lit("to_be_judged"))
@@ -87,9 +87,9 @@ SELECT user_id, count(*) FILTER (WHERE pos = 1) AS n_final, count(*) FILTER (WHE
 def q04_rule_engine(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_id").alias("finding_id"))
     f = e.withColumns({"copy": F.lit(0), "s": F.col("finding_id") % 7}).unionByName(e.filter("finding_id % 3 = 0").withColumns({"copy": F.lit(1), "s": (F.col("finding_id") + 3) % 7}))
-    f = f.withColumn("judge_status", F.when(F.col("s") == 0, "dismissed").otherwise("approved"))
+    f = f.withColumn("judge_status", F.when(F.col("s") == 0, "judged_dismissed").otherwise("judged_approved"))
     kept = O.rule_engine(f, "user_id", "copy").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_final"), F.sum("copy").alias("n_second"))
-    every = f.filter("judge_status <> 'dismissed'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    every = f.filter("judge_status <> 'judged_dismissed'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     return kept.join(every, "user_id").select("user_id", "n_final", (F.col("n") - F.col("n_final")).alias("n_repeats"), "n_second")
 
 

@@ -15,4 +15,4 @@ EVENT = "id string, year string, task_variant string, code string, impact double
 MANIFEST = "student_id string, image_path string, image_file string, label string, cohort_year string, task_variant string, source_doc string, analysis string"
 DOC_ITEM = "doc_id string, seq long, cref string, kind string, label string, level int, text string, page_no int"
 USAGE = "doc_id string, model string, calls long, prompt_tokens long, completion_tokens long, cached_tokens long, cost_eur double"
-STATUSES = ("to_be_judged", "not_to_be_judged", "approved", "adjusted", "dismissed")
+STATUSES = ("to_be_judged", "not_to_be_judged", "judged_approved", "judged_adjusted", "judged_dismissed")

@@ -57,7 +57,7 @@ def test_clean_comment(spark):
 
 
 def test_rule_engine_counts(spark):
-    rows = [("d", 1, "a", "dismissed"), ("d", 2, "a", "approved"), ("d", 3, "a", "approved"), ("d", 4, "b", None), ("e", 1, "a", "adjusted")]
+    rows = [("d", 1, "a", "judged_dismissed"), ("d", 2, "a", "judged_approved"), ("d", 3, "a", "judged_approved"), ("d", 4, "b", None), ("e", 1, "a", "judged_adjusted")]
     f = spark.createDataFrame(rows, "doc_id string, seq int, finding_id string, judge_status string")
     assert sorted((r.doc_id, r.seq) for r in O.rule_engine(f, "doc_id", "seq").collect()) == [("d", 2), ("d", 4), ("e", 1)]
 
@@ -66,7 +66,7 @@ def test_assessment_run(spark):
     f = spark.createDataFrame([("d", 1, "1", "X", 0.8, "to_be_judged"), ("d", 2, "2", "Y", None, "to_be_judged")], "doc_id string, seq int, finding_id string, ac_code string, severity double, judge_status string")
     rules = spark.createDataFrame([("X", 0.066667)], "ac_code string, severity_weight double")
     v = spark.createDataFrame([("2", "adjusted", 0.5, 1), ("1", "approved", 0.1, 1)], "finding_id string, decision string, adjusted_severity double, seq int")
-    got = {r.finding_id: r for r in assessment.run(f, rules.withColumnRenamed("ac_code", "ac_code"), v, 400.0)["scored"].drop(rules["ac_code"]).collect()}
+    got = {r.finding_id: r for r in assessment.run(f, rules, v, 400.0)["scored"].collect()}
     assert got["1"].impact == -21.3334 and got["1"].severity == 0.8
     assert got["2"].impact is None and got["2"].severity == 0.5
 
