@@ -14,6 +14,11 @@ from pyspark.sql.types import DoubleType, StringType
 from assaya import fixed_values as V
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded by decimals, whatever the order that a sum was added up in: noise beyond nine digits goes first."""
+    return F.round(F.round(value, 9), digits)
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The value of ``key`` in a fixed table, null if none."""
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]

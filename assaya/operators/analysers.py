@@ -315,7 +315,7 @@ def copy_findings(signals: DataFrame, evidence: DataFrame, doc: str = "doc_id",
     top = one.withColumn("at", F.row_number().over(Window.partitionBy(doc).orderBy(*order))).filter(F.col("at") <= most)
     held = top.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("at", "cref", "text", "label", "sim", "spec_text"))).alias("places"))
     rows = rows.join(held, doc, "left")
-    summary = F.format_string("Detected similarity with the official specification: contamination=%.2f, coverage=%.2f, %d/%d chunks flagged, %d hard sentence matches", v["c"], v["cov"], v["f"], F.col("n"), v["h"])
+    summary = F.format_string("Detected similarity with the official specification: contamination=%.2f, coverage=%.2f, %d/%d chunks flagged, %d hard sentence matches", F.bround(v["c"], 2), F.bround(v["cov"], 2), v["f"], F.col("n"), v["h"])
     r = lambda c: F.round(c, 4)
     stats = F.array(stat("contamination_score", r(v["c"])), stat("spec_coverage_score", r(v["cov"])), stat("n_flagged_chunks", v["f"]), stat("n_total_chunks", F.col("n")), stat("max_chunk_sim", r(v["m"])), stat("n_hard_sentences", v["h"]), stat("n_corroborated", v["k"]), stat("max_sentence_sim", r(v["ms"])))
     models = F.transform("places", lambda x: F.struct(F.lit(V.EMBEDDING_MODEL).alias("model_name"), x["label"].alias("label"), F.round(x["sim"], 4).alias("score"), F.create_map(F.lit("spec_text"), x["spec_text"]).alias("raw")))

@@ -49,8 +49,8 @@ def compare_students(gold: DataFrame, final: DataFrame, raw: DataFrame, present:
         rows = rows.join(present.select(*KEYS).distinct(), KEYS, "left_semi")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({**{c: F.coalesce(c, none) for c in ("tool", "raw", "judges", "generators")}, "tool_sum": F.coalesce("tool_sum", F.lit(0.0)), "points": F.col("first.points"), "most": F.col("first.max_points")})
-    rows = rows.withColumns({"overlap": F.array_intersect("gold", "tool"), "missed": F.array_except("gold", "tool"), "added": F.array_except("tool", "gold"), "estimate": F.bround(F.col("most") + F.col("tool_sum")).cast("long")})
-    pct = lambda x: F.when(F.col("most") > 0, F.round(x / F.col("most") * 100, 2))
+    rows = rows.withColumns({"overlap": F.array_intersect("gold", "tool"), "missed": F.array_except("gold", "tool"), "added": F.array_except("tool", "gold"), "estimate": F.bround(F.round(F.col("most") + F.col("tool_sum"), 9)).cast("long")})
+    pct = lambda x: F.when(F.col("most") > 0, C.rounded(x / F.col("most") * 100, 2))
     size = lambda x, name: F.size(x).cast("long").alias(name)
     normal = F.when(F.col("most") > 0, F.col("tool_sum") / F.col("most")).otherwise(0.0)
     return rows.select(
@@ -59,7 +59,7 @@ def compare_students(gold: DataFrame, final: DataFrame, raw: DataFrame, present:
         F.array_join(F.array_sort("generators"), ", ").alias("generator_models"), F.array_join(F.array_sort("judges"), ", ").alias("judge_models"),
         size("gold", "gold_code_count"), size("tool", "tool_code_count"), size("raw", "raw_code_count"), size("overlap", "overlap_count"), size("missed", "missed_count"), size("added", "added_count"),
         size(F.array_intersect("gold", "raw"), "raw_overlap_count"), size(F.array_except("gold", "raw"), "raw_missed_count"), size(F.array_except("raw", "gold"), "raw_added_count"),
-        F.round("gold_sum", 4).alias("gold_impact_sum"), F.round(normal, 4).alias("tool_impact_sum"), F.round(normal - F.col("gold_sum"), 4).alias("impact_delta"),
+        C.rounded(F.col("gold_sum"), 4).alias("gold_impact_sum"), C.rounded(normal, 4).alias("tool_impact_sum"), C.rounded(normal - F.col("gold_sum"), 4).alias("impact_delta"),
         _codes(F.col("gold")).alias("gold_codes"), _codes(F.col("tool")).alias("tool_codes"), _codes(F.col("overlap")).alias("overlap_codes"), _codes(F.col("missed")).alias("missed_codes"), _codes(F.col("added")).alias("added_codes"),
     )
 
@@ -92,14 +92,14 @@ def evaluate(students: DataFrame, sections: dict[str, str] | None = None) -> Dat
     of = [F.struct(F.lit("overall").alias("section"), F.lit("").alias("grp")), *[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.lit(s).alias("section"), F.col(c).cast("string").alias("grp"))) for s, c in sections.items() if c in students.columns]]
     rows = students.withColumn("__g", F.explode(F.array_compact(F.array(*of)))).select("*", "__g.section", "__g.grp").drop("__g")
     keys = ["section", "grp"]
-    avg = lambda c: F.round(F.avg(c), 2)
+    avg = lambda c: C.rounded(F.avg(c), 2)
     points = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), avg(F.abs("points_delta")).alias("points_mae"), avg("points_delta").alias("points_mean_delta"), avg(F.abs("points_delta_pct")).alias("points_mae_pct"), avg("points_delta_pct").alias("points_mean_delta_pct"),
         F.sum("gold_code_count").alias("total_gold"), F.sum("tool_code_count").alias("total_tool"), F.sum("overlap_count").alias("total_overlap"),
     )
     known = rows.filter("doc_points IS NOT NULL AND tool_raw_points IS NOT NULL").withColumns({"x": F.col("doc_points").cast("double"), "y": F.col("tool_raw_points").cast("double")})
     known = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scored"), A.safe_corr("x", "y").alias("r"))
-    macro = code_stats(rows, keys).groupBy(*keys).agg(*[F.round(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    macro = code_stats(rows, keys).groupBy(*keys).agg(*[C.rounded(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
     out = points.join(known, keys, "left").join(macro, keys, "left")
     return out.select(
         *keys, "n", "points_mae", "points_mean_delta", "points_mae_pct", "points_mean_delta_pct", "macro_precision", "macro_recall", "macro_f1", F.round("r", 4).alias("pearson_r"), F.round(C.correlation_p("r", "n_scored"), 4).alias("pearson_p"),
@@ -109,7 +109,7 @@ def evaluate(students: DataFrame, sections: dict[str, str] | None = None) -> Dat
 
 def operational(students: DataFrame) -> DataFrame:
     """Costs, tokens and times of all students, and the costs of the variants par and int, which are listed also without students."""
-    r = lambda c, d=4: F.round(c, d)
+    r = lambda c, d=4: C.rounded(c, d)
     cost, took = F.avg("cost_eur"), F.avg("elapsed_seconds")
     total, found = F.nullif(F.coalesce(F.sum("cost_eur"), F.lit(0.0)), F.lit(0.0)), F.nullif(F.sum(F.col("overlap_count") + F.col("added_count")), F.lit(0))
     every = students.agg(

@@ -133,10 +133,10 @@ g2 AS (SELECT student_id, task_variant, most, coalesce(sum(v), 0) AS gold_sum FR
 t AS (SELECT user_id AS student_id, CASE WHEN k % 2 = 0 THEN 'par' ELSE 'int' END AS task_variant, nullif(list_extract({list(_TOOL_CODES)}, CAST(event_id % 6 AS INT) + 1), '') AS ac_code, CASE WHEN event_id % 5 = 2 THEN 'judged_dismissed' WHEN event_id % 5 = 1 THEN 'judged_adjusted' WHEN event_id % 5 = 0 THEN 'judged_approved' ELSE 'to_be_judged' END AS status, CASE WHEN k % 7 > 0 THEN -k / 10.0::DOUBLE END AS impact, CASE WHEN event_id % 4 > 0 THEN 'g' || event_id % 3 END AS gen, CASE WHEN event_id % 5 < 3 THEN 'j' || event_id % 2 END AS jud, event_id % 10 <> 7 AS final FROM (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
 t1 AS (SELECT student_id, task_variant, list_sort(list(DISTINCT ac_code) FILTER (WHERE status <> 'judged_dismissed' AND ac_code IS NOT NULL)) AS tool, coalesce(sum(impact) FILTER (WHERE status <> 'judged_dismissed'), 0) AS tool_sum, list_sort(list(DISTINCT jud) FILTER (WHERE jud IS NOT NULL)) AS judges FROM t WHERE final GROUP BY 1, 2),
 t2 AS (SELECT student_id, task_variant, list_sort(list(DISTINCT ac_code) FILTER (WHERE ac_code IS NOT NULL)) AS raw, list_sort(list(DISTINCT gen) FILTER (WHERE gen IS NOT NULL)) AS gens FROM t GROUP BY 1, 2),
-c AS (SELECT student_id, task_variant, most, gold_sum, gold, points, coalesce(tool, []) AS tool, tool_sum, coalesce(judges, []) AS judges, coalesce(raw, []) AS raw, coalesce(gens, []) AS gens, CAST(round_even(most + tool_sum, 0) AS BIGINT) AS est FROM g2 JOIN g3 USING (student_id, task_variant) JOIN t1 USING (student_id, task_variant) LEFT JOIN t2 USING (student_id, task_variant)),
-st AS (SELECT student_id, task_variant, points AS doc_points, most AS max_doc_points, est AS tool_raw_points, round(points / most::DOUBLE * 100, 2) AS doc_score_pct, round(est / most::DOUBLE * 100, 2) AS tool_score_pct, est - points AS points_delta, round((est - points) / most::DOUBLE * 100, 2) AS points_delta_pct, array_to_string(gens, ', ') AS generator_models, array_to_string(judges, ', ') AS judge_models,
+c AS (SELECT student_id, task_variant, most, gold_sum, gold, points, coalesce(tool, []) AS tool, tool_sum, coalesce(judges, []) AS judges, coalesce(raw, []) AS raw, coalesce(gens, []) AS gens, CAST(round_even(round(most + tool_sum, 9), 0) AS BIGINT) AS est FROM g2 JOIN g3 USING (student_id, task_variant) JOIN t1 USING (student_id, task_variant) LEFT JOIN t2 USING (student_id, task_variant)),
+st AS (SELECT student_id, task_variant, points AS doc_points, most AS max_doc_points, est AS tool_raw_points, round(CAST(points / most::DOUBLE * 100 AS DECIMAL(24, 9)), 2)::DOUBLE AS doc_score_pct, round(CAST(est / most::DOUBLE * 100 AS DECIMAL(24, 9)), 2)::DOUBLE AS tool_score_pct, est - points AS points_delta, round(CAST((est - points) / most::DOUBLE * 100 AS DECIMAL(24, 9)), 2)::DOUBLE AS points_delta_pct, array_to_string(gens, ', ') AS generator_models, array_to_string(judges, ', ') AS judge_models,
  len(gold) AS gold_code_count, len(tool) AS tool_code_count, len(raw) AS raw_code_count, len(list_intersect(gold, tool)) AS overlap_count, len(list_filter(gold, lambda x: NOT list_contains(tool, x))) AS missed_count, len(list_filter(tool, lambda x: NOT list_contains(gold, x))) AS added_count, len(list_intersect(gold, raw)) AS raw_overlap_count, len(list_filter(gold, lambda x: NOT list_contains(raw, x))) AS raw_missed_count, len(list_filter(raw, lambda x: NOT list_contains(gold, x))) AS raw_added_count,
- round(gold_sum, 4) AS gold_impact_sum, round(tool_sum / most, 4) AS tool_impact_sum, round(tool_sum / most - gold_sum, 4) AS impact_delta, array_to_string(gold, '|') AS gold_codes, array_to_string(tool, '|') AS tool_codes, array_to_string(list_filter(gold, lambda x: list_contains(tool, x)), '|') AS overlap_codes, array_to_string(list_filter(gold, lambda x: NOT list_contains(tool, x)), '|') AS missed_codes, array_to_string(list_filter(tool, lambda x: NOT list_contains(gold, x)), '|') AS added_codes FROM c)"""
+ round(CAST(gold_sum AS DECIMAL(24, 9)), 4)::DOUBLE AS gold_impact_sum, round(CAST(tool_sum / most AS DECIMAL(24, 9)), 4)::DOUBLE AS tool_impact_sum, round(CAST(tool_sum / most - gold_sum AS DECIMAL(24, 9)), 4)::DOUBLE AS impact_delta, array_to_string(gold, '|') AS gold_codes, array_to_string(tool, '|') AS tool_codes, array_to_string(list_filter(gold, lambda x: list_contains(tool, x)), '|') AS overlap_codes, array_to_string(list_filter(gold, lambda x: NOT list_contains(tool, x)), '|') AS missed_codes, array_to_string(list_filter(tool, lambda x: NOT list_contains(gold, x)), '|') AS added_codes FROM c)"""
 
 
 def gold_tables(spark, d):
@@ -176,11 +176,11 @@ _T = "abs(r) * sqrt((n2 - 2) / (1 - r * r))"
 # The whole evaluation: all students, and groups of each section.
 @query(f"""WITH {GOLD_SQL}, s0 AS (SELECT *, CASE student_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' END AS doc_type, list_extract(['cs', 'sk', 'en', ''], CAST(student_id % 4 AS INT) + 1) AS doc_language FROM st),
 s AS (SELECT 'overall' AS section, '' AS grp, * FROM s0 UNION ALL SELECT 'per_variant', task_variant, * FROM s0 UNION ALL SELECT 'per_format', doc_type, * FROM s0 WHERE doc_type IS NOT NULL UNION ALL SELECT 'per_language', doc_language, * FROM s0 WHERE doc_language <> '' UNION ALL SELECT 'per_generator_model', generator_models, * FROM s0 WHERE generator_models <> '' UNION ALL SELECT 'per_judge_model', judge_models, * FROM s0 WHERE judge_models <> ''),
-p AS (SELECT section, grp, count(*) AS n, round(avg(abs(points_delta)), 2) AS points_mae, round(avg(points_delta), 2) AS points_mean_delta, round(avg(abs(points_delta_pct)), 2) AS points_mae_pct, round(avg(points_delta_pct), 2) AS points_mean_delta_pct, CAST(sum(gold_code_count) AS BIGINT) AS total_gold, CAST(sum(tool_code_count) AS BIGINT) AS total_tool, CAST(sum(overlap_count) AS BIGINT) AS total_overlap,
+p AS (SELECT section, grp, count(*) AS n, round(CAST(avg(abs(points_delta)) AS DECIMAL(24, 9)), 2)::DOUBLE AS points_mae, round(CAST(avg(points_delta) AS DECIMAL(24, 9)), 2)::DOUBLE AS points_mean_delta, round(CAST(avg(abs(points_delta_pct)) AS DECIMAL(24, 9)), 2)::DOUBLE AS points_mae_pct, round(CAST(avg(points_delta_pct) AS DECIMAL(24, 9)), 2)::DOUBLE AS points_mean_delta_pct, CAST(sum(gold_code_count) AS BIGINT) AS total_gold, CAST(sum(tool_code_count) AS BIGINT) AS total_tool, CAST(sum(overlap_count) AS BIGINT) AS total_overlap,
  count(doc_points) AS n2, CASE WHEN count(doc_points) >= 3 AND var_pop(CASE WHEN doc_points IS NOT NULL THEN tool_raw_points END) > 0 AND var_pop(doc_points) > 0 THEN corr(doc_points::DOUBLE, tool_raw_points::DOUBLE) END AS r FROM s GROUP BY 1, 2),
 x AS (SELECT section, grp, unnest(list_distinct(list_concat(string_split(gold_codes, '|'), string_split(tool_codes, '|')))) AS code, string_split(gold_codes, '|') AS g, string_split(tool_codes, '|') AS t FROM s),
 y AS (SELECT section, grp, code, sum((list_contains(g, code) AND list_contains(t, code))::INT) AS a, sum(list_contains(g, code)::INT) AS ng, sum(list_contains(t, code)::INT) AS nt FROM x WHERE code <> '' GROUP BY 1, 2, 3),
-z AS (SELECT *, round(a / nullif(nt, 0)::DOUBLE, 4) AS pr, round(a / nullif(ng, 0)::DOUBLE, 4) AS re FROM y), w AS (SELECT section, grp, round(avg(pr), 4) AS macro_precision, round(avg(re), 4) AS macro_recall, round(avg(CASE WHEN pr > 0 AND re > 0 THEN round(2 * pr * re / (pr + re), 4) END), 4) AS macro_f1 FROM z GROUP BY 1, 2),
+z AS (SELECT *, round(a / nullif(nt, 0)::DOUBLE, 4) AS pr, round(a / nullif(ng, 0)::DOUBLE, 4) AS re FROM y), w AS (SELECT section, grp, round(CAST(avg(pr) AS DECIMAL(24, 9)), 4)::DOUBLE AS macro_precision, round(CAST(avg(re) AS DECIMAL(24, 9)), 4)::DOUBLE AS macro_recall, round(CAST(avg(CASE WHEN pr > 0 AND re > 0 THEN round(2 * pr * re / (pr + re), 4) END) AS DECIMAL(24, 9)), 4)::DOUBLE AS macro_f1 FROM z GROUP BY 1, 2),
 q AS (SELECT section, grp, r, n2 - 2 AS v, atan({_T} / sqrt(n2 - 2)) AS th FROM p WHERE r IS NOT NULL),
 pv AS (SELECT section, grp, 1 - CASE WHEN v % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, v // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(th), 2 * k)))
  ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(1, (v - 1) // 2 + 1), lambda k: pow(cos(th), 2 * k - 1) * sqrt(pi()) * exp(lgamma(k) - lgamma(k + 0.5)) / 2)), 0)) END AS pval FROM q)
@@ -191,9 +191,9 @@ def q131_full_evaluation(spark, d):
 
 # Costs, tokens and times, and the costs of the variants.
 @query(f"""WITH {GOLD_SQL}, o AS (SELECT st.*, CASE WHEN student_id % 6 > 0 THEN student_id / 100.0::DOUBLE END AS cost, student_id * 10 AS p, student_id % 9 AS q, 1 + student_id % 4 AS n_api, 2.0::DOUBLE + student_id % 13 AS took FROM st)
-SELECT 'all' AS scope, count(cost) AS n, round(avg(cost), 4) AS mean_cost_eur, round(nullif(sum(cost), 0), 4) AS total_cost_eur, round(avg(cost) * 600, 2) AS projected_cohort_cost_eur, round(sum(cost) / nullif(sum(overlap_count + added_count), 0), 6) AS cost_per_finding_eur, round(avg(p), 4) AS mean_prompt_tokens, round(avg(p / 5.0::DOUBLE), 4) AS mean_completion_tokens, round(avg(q), 4) AS mean_cached_tokens,
-round(avg(q / nullif(p, 0)::DOUBLE), 4) AS mean_cache_hit_rate, round(avg(n_api), 4) AS mean_api_calls, round(avg(took), 4) AS mean_elapsed_seconds, round(max(took), 4) AS max_elapsed_seconds, round(3600 / avg(took), 1) AS estimated_docs_per_hour FROM o
-UNION ALL SELECT task_variant, count(cost), round(avg(cost), 4), round(sum(cost), 4), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM o GROUP BY 1""")
+SELECT 'all' AS scope, count(cost) AS n, round(CAST(avg(cost) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_cost_eur, round(CAST(nullif(sum(cost), 0) AS DECIMAL(24, 9)), 4)::DOUBLE AS total_cost_eur, round(CAST(avg(cost) * 600 AS DECIMAL(24, 9)), 2)::DOUBLE AS projected_cohort_cost_eur, round(sum(cost) / nullif(sum(overlap_count + added_count), 0), 6) AS cost_per_finding_eur, round(CAST(avg(p) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_prompt_tokens, round(CAST(avg(p / 5.0::DOUBLE) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_completion_tokens, round(CAST(avg(q) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_cached_tokens,
+round(CAST(avg(q / nullif(p, 0)::DOUBLE) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_cache_hit_rate, round(CAST(avg(n_api) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_api_calls, round(CAST(avg(took) AS DECIMAL(24, 9)), 4)::DOUBLE AS mean_elapsed_seconds, round(CAST(max(took) AS DECIMAL(24, 9)), 4)::DOUBLE AS max_elapsed_seconds, round(3600 / avg(took), 1) AS estimated_docs_per_hour FROM o
+UNION ALL SELECT task_variant, count(cost), round(CAST(avg(cost) AS DECIMAL(24, 9)), 4)::DOUBLE, round(CAST(sum(cost) AS DECIMAL(24, 9)), 4)::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM o GROUP BY 1""")
 def q132_operational(spark, d):
     k = F.col("student_id")
     s = G.compare_students(*gold_tables(spark, d)).withColumns({"cost_eur": F.when(k % 6 > 0, k / 100), "prompt_tokens": k * 10, "completion_tokens": k * 2.0, "cached_tokens": k % 9, "n_api_calls": k % 4 + 1, "elapsed_seconds": k % 13 + 2.0})
@@ -233,7 +233,7 @@ def q136_token_counts(spark, d):
 
 # A run with parse failures, verdicts and scores.
 @query(f"""WITH {RULES_SQL}, {F_SQL}, b AS (SELECT user_id FROM f GROUP BY 1 HAVING user_id % 9 = 0), s AS (SELECT f.user_id, event_id, event_type, CASE event_id % 5 WHEN 0 THEN 'judged_approved' WHEN 1 THEN 'judged_adjusted' WHEN 2 THEN 'judged_dismissed' ELSE 'to_be_judged' END AS status, weight, k FROM f LEFT JOIN rules ON event_type = ac_code WHERE user_id % 9 <> 0)
-SELECT user_id, count(*) AS n_final, count({IMPACT_SQL}) AS n_rated, round(400.0 + coalesce(sum({IMPACT_SQL}), 0), 2)::DOUBLE AS points, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM s WHERE status <> 'judged_dismissed' GROUP BY 1
+SELECT user_id, count(*) AS n_final, count({IMPACT_SQL}) AS n_rated, round(CAST(400.0 + coalesce(sum({IMPACT_SQL}), 0) AS DECIMAL(24, 9)), 2)::DOUBLE AS points, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM s WHERE status <> 'judged_dismissed' GROUP BY 1
 UNION ALL SELECT user_id, 1, 0, 400.0, 'not_to_be_judged' FROM b""")
 def q137_assessment_run(spark, d):
     f = found(spark, d).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), "finding_id", F.col("event_type").alias("ac_code"), "severity", F.lit("to_be_judged").alias("judge_status"))
@@ -241,7 +241,7 @@ def q137_assessment_run(spark, d):
     bad = f.select("doc_id").distinct().filter("doc_id % 9 = 0").select("doc_id", F.lit(0).cast("long").alias("length"), F.lit("a.md").alias("path"), F.lit(None).cast("string").alias("error"))
     failed = Y.parser_findings(bad, None, [".md"]).drop("finding_id")
     done = assessment.run(f, rules(spark), v, MAX_POINTS, failed=failed)["scored"]
-    return done.groupBy(F.col("doc_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_final"), F.count("impact").alias("n_rated"), F.round(F.lit(MAX_POINTS) + F.coalesce(F.sum("impact"), F.lit(0.0)), 2).alias("points"), F.array_join(F.array_sort(F.collect_set("judge_status")), ",").alias("statuses"))
+    return done.groupBy(F.col("doc_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_final"), F.count("impact").alias("n_rated"), C.rounded(F.lit(MAX_POINTS) + F.coalesce(F.sum("impact"), F.lit(0.0)), 2).alias("points"), F.array_join(F.array_sort(F.collect_set("judge_status")), ",").alias("statuses"))
 
 
 # Weights of new codes from those of similar ones (A12), of the real map of similar codes; codes of part types play those with weights.
