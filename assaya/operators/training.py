@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,3 +75,43 @@ def token_counts(docs: DataFrame, most: int, tokenizer: str | None = None) -> Da
             yield pd.Series([len(x.ids) for x in own.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
 
     return some.withColumn("tokens", F.pandas_udf(count, "long")("text"))
+
+
+def audited(lines: DataFrame, mapping: DataFrame, files: DataFrame) -> DataFrame:
+    """Results of a batch with what becomes of each: parse_failure, invalid, unresolved, good or bad, and whether the label changed.
+
+    ``lines`` are a batch's results, ``mapping`` has custom_id, source_path and label, ``files`` the paths there are.
+    """
+    told = audit_results(lines.filter("parsed")).withColumn("parsed", F.lit(True))
+    rows = told.select("custom_id", "label", "analysis", "parsed").unionByName(lines.filter("NOT parsed").select(F.lit(False).alias("parsed")), allowMissingColumns=True)
+    known = mapping.join(files.select(F.col("path").alias("source_path")), "source_path", "left_semi").withColumnRenamed("label", "original_label")
+    rows = rows.join(known, "custom_id", "left")
+    fate = F.when(~F.col("parsed") | F.col("custom_id").isNull() | F.col("label").isNull(), "parse_failure").when(F.col("label") == "INVALID", "invalid").when(F.col("source_path").isNull(), "unresolved").when(F.col("label") == "GOODUML", "good").otherwise("bad")
+    return rows.withColumn("fate", fate).withColumn("conflict", F.col("fate").isin("good", "bad") & (F.upper("original_label") != F.col("label")))
+
+
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """Counters of an audit."""
+    of = lambda x, name: F.count_if(F.col("fate") == x).alias(name)
+    return rows.agg(F.count(F.lit(1)).alias("processed"), of("parse_failure", "parse_failures"), of("invalid", "invalid"), of("unresolved", "unresolved"), of("good", "good"), of("bad", "bad"), F.count_if(F.coalesce("conflict", F.lit(False))).alias("conflicts"))
+
+
+@F.pandas_udf("string")
+def _blake(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else hashlib.blake2b(x.encode(), digest_size=4).hexdigest())
+
+
+def path_token(path: Column) -> Column:
+    """A file's stem in letters and digits with a short digest of its path."""
+    flat = F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+    stem = F.regexp_replace(F.element_at(F.split(flat, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    clean = F.regexp_replace(F.regexp_replace(stem, r"[^\p{L}\p{N}]", "_"), r"^_+|_+$", "")
+    return F.concat(F.coalesce(F.nullif(clean, F.lit("")), F.lit("file")), F.lit("_"), _blake(flat))
+
+
+def large_enough(images: DataFrame, width: str, height: str, least: int = 128, most: int = 2048) -> DataFrame:
+    """Images whose shorter side is long enough, with their size once the longer one is cut to ``most``."""
+    w, h = F.col(width), F.col(height)
+    ratio = F.lit(float(most)) / F.greatest(w, h)
+    cut = lambda x: F.when(F.greatest(w, h) > most, (x * ratio).cast("long")).otherwise(x.cast("long"))
+    return images.filter(F.least(w, h) >= least).withColumns({"width": cut(w), "height": cut(h)})

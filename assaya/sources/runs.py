@@ -15,12 +15,21 @@ MODES = ("base", "tables", "ocr", "both")
 NUMBERS = "doc_points max_doc_points tool_raw_points points_delta gold_impact_sum tool_impact_sum impact_delta cost_eur prompt_tokens completion_tokens cached_tokens n_api_calls elapsed_seconds".split()
 
 
-def stage_files(spark: SparkSession, root: str) -> DataFrame:
-    """student_id, stage and text of each stage file below ``root``/<student>."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(STAGES) + "}").text(root, wholetext=True)
+def stage_files(spark: SparkSession, root: str, folders: bool = False) -> DataFrame:
+    """student_id, stage and text of each stage file below ``root``/<student>; with ``folders`` a stage is a folder of its file's name that holds one file."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    files = (reader if folders else reader.option("pathGlobFilter", "{" + ",".join(STAGES) + "}")).text(root, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    stage = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])[F.element_at(parts, -1)]
-    return files.select(F.url_decode(F.element_at(parts, -2)).alias("student_id"), stage.alias("stage"), F.col("value").alias("text"))
+    at = -2 if folders else -1
+    name = lambda k: F.regexp_replace(F.url_decode(F.element_at(parts, k)), "^[a-z_]+=", "")
+    stage = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])[name(at)]
+    return files.select(name(at - 1).alias("student_id"), stage.alias("stage"), F.col("value").alias("text")).filter("stage IS NOT NULL")
+
+
+def available(files: DataFrame) -> DataFrame:
+    """Runs by name with the stages they have, in a run's order (SRC10)."""
+    order = F.array(*[F.lit(x) for x in ("raw", "judged", "final", "info", "ir")])
+    return files.groupBy("student_id").agg(F.filter(order, lambda x: F.array_contains(F.collect_set("stage"), x)).alias("stages")).orderBy("student_id")
 
 
 def runs(files: DataFrame, students: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,9 +86,17 @@ def cached_vectors(spark: SparkSession, path: str, model: str, content_hash: str
     return spark.read.schema(schema).parquet(path).filter((F.col("model") == model) & (F.col("content_hash") == content_hash))
 
 
-def labelled_images(spark: SparkSession, root: str, labels: dict[str, str]) -> DataFrame:
-    """Image files by the label of their top folder; hidden and archive folders are skipped (SRC16, R6, R8)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(root)
+IMAGES = (".png", ".jpg", ".jpeg")
+
+
+def labelled(files: DataFrame, root: str, labels: dict[str, str]) -> DataFrame:
+    """Images of a listing by the label of their top folder, without hidden and archive folders (SRC16, R6)."""
     below = F.element_at(F.split(F.col("path"), "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", 2), 2)
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.split(below, "/")[0]]
-    return files.select("path", "length", label.alias("label"), below.alias("name")).filter(F.col("label").isNotNull() & ~F.col("name").rlike(r"(^|/)(\.|__MACOSX/)"))
+    image = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*IMAGES)
+    return files.filter(image).select("path", "length", label.alias("label"), below.alias("name")).filter(F.col("label").isNotNull() & ~F.col("name").rlike(r"(^|/)(\.|__MACOSX/)"))
+
+
+def labelled_images(spark: SparkSession, root: str, labels: dict[str, str]) -> DataFrame:
+    """Image files below ``root`` with their label (SRC16, R8)."""
+    return labelled(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(root), root, labels)
