@@ -56,3 +56,6 @@ YEAR_LINE = r"(?i)^(20\d{2}\s*/\s*20\d{2}|IPP\s*20\d{2})"
 #: Columns of the export of findings.
 EXPORT_COLUMNS = """id year task_variant code impact impact_has_sign impact_source impact_shared comment raw_text source_file doc_points
 doc_type bonus_points severity confidence judge_status human_status finding_id""".split()
+HIDDEN_CODES = ["AIDOC", "DSC_EXT"]
+#: Folders that a variant's submissions may lie in, the first that there is counts.
+VARIANT_FOLDERS = {"int": ["interpret", "int"], "par": ["parse", "parser"], "php": ["php"], "py": ["python", "py"]}

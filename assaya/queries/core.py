@@ -55,16 +55,20 @@ def q01_score_findings(spark, d):
     return scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count("severity_weight").alias("n_rated"), F.round(F.lit(MAX_POINTS) + F.coalesce(F.sum("impact"), F.lit(0.0)), 2).alias("doc_points"))
 
 
-_RULE_ROWS = [("R1", "content", None, None), ("R2", "content", "IPP", None), ("R3", "content", "IFJ", "en"), ("R4", "grammar", "IPP", "en"), ("R5", "content", None, "cs"), ("R6", "content", "IPP", None)]
-_CONFIG_ROWS = [(1, "content", "IPP", "en", ["R6"]), (2, "content", "IFJ", "en", []), (3, "grammar", "IPP", "en", ["R1"]), (4, "content", "IPP", "cs", [])]
-
-
-@query("""WITH r AS (SELECT * FROM (VALUES ('R1','content',NULL,NULL),('R2','content','IPP',NULL),('R3','content','IFJ','en'),('R4','grammar','IPP','en'),('R5','content',NULL,'cs'),('R6','content','IPP',NULL)) AS r(ac_code, analyser_id, course, language)),
-c AS (SELECT * FROM (VALUES (1,'content','IPP','en',['R6']),(2,'content','IFJ','en',[]),(3,'grammar','IPP','en',['R1']),(4,'content','IPP','cs',[])) AS c(config_id, analyser_id, course, language, disabled))
-SELECT CAST(config_id AS INT) AS config_id, ac_code FROM r JOIN c ON r.analyser_id = c.analyser_id AND (r.course IS NULL OR r.course = c.course) AND (r.language IS NULL OR r.language = c.language) AND NOT list_contains(disabled, ac_code)""")
+# Part types play rules and customers configurations: each rule for the configurations it fits.
+@query("""WITH r AS (SELECT 'R' || p_partkey AS ac_code, CASE p_partkey % 3 WHEN 0 THEN 'content' WHEN 1 THEN 'grammar' ELSE 'asset' END AS analyser_id, CASE p_size % 3 WHEN 0 THEN 'ipp' WHEN 1 THEN 'ifj' END AS course, CASE p_size % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'cs' END AS language FROM part),
+c AS (SELECT n_nationkey AS config_id, CASE n_nationkey % 2 WHEN 0 THEN 'content' ELSE 'grammar' END AS analyser_id, CASE n_nationkey % 3 WHEN 0 THEN 'ipp' WHEN 1 THEN 'ifj' END AS course, CASE n_nationkey % 5 WHEN 0 THEN 'en' ELSE 'cs' END AS language, 'R' || n_nationkey * 3 AS disabled FROM nation)
+SELECT config_id, ac_code FROM r JOIN c ON r.analyser_id = c.analyser_id AND (r.course IS NULL OR r.course = c.course) AND (r.language IS NULL OR r.language = c.language) AND ac_code <> disabled""")
 def q02_rule_select(spark, d):
-    r = spark.createDataFrame(_RULE_ROWS, "ac_code string, analyser_id string, course string, language string")
-    c = spark.createDataFrame(_CONFIG_ROWS, "config_id int, analyser_id string, course string, language string, disabled_codes array<string>")
+    p, s, n = F.col("p_partkey"), F.col("p_size"), F.col("n_nationkey")
+    r = table(spark, d, "part").select(
+        F.concat(F.lit("R"), p.cast("string")).alias("ac_code"), F.when(p % 3 == 0, "content").when(p % 3 == 1, "grammar").otherwise("asset").alias("analyser_id"),
+        F.when(s % 3 == 0, "ipp").when(s % 3 == 1, "ifj").alias("course"), F.when(s % 4 == 0, "en").when(s % 4 == 1, "cs").alias("language"),
+    )
+    c = table(spark, d, "nation").select(
+        n.alias("config_id"), F.when(n % 2 == 0, "content").otherwise("grammar").alias("analyser_id"), F.when(n % 3 == 0, "ipp").when(n % 3 == 1, "ifj").alias("course"), F.when(n % 5 == 0, "en").otherwise("cs").alias("language"),
+        F.array(F.concat(F.lit("R"), (n * 3).cast("string")), F.lit("none")).alias("disabled_codes"),
+    )
     return O.select_rules(r, c).select("config_id", "ac_code")
 
 

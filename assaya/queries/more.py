@@ -205,13 +205,14 @@ def q51_code_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_like(x, F.lit(r"(?U)(?<!\w)(?iu:the|style)(?!\w)")).alias("long_token"), F.regexp_like(x, F.lit(r"(?U)(?<!\w)Is(?!\w)")).alias("short_token"))
 
 
-@query()
+@query(f"""WITH {F_SQL}, e AS (SELECT * FROM (VALUES (0, 'STRUCT', 'suffix', -1, false), (1, 'CH', 'paren', -1, false), (2, 'STYLE', 'suffix', -1, true), (2, 'SHORT', 'suffix', -1, true), (3, 'HOV', NULL, NULL, false)) AS e(t, code, impact_source, factor, impact_shared))
+SELECT code, impact_source, impact_shared, count(*) AS n, sum(factor * k)::DOUBLE AS impact FROM f JOIN e ON event_id % 4 = t GROUP BY 1, 2, 3""")
 def q51_span_events(spark, d):
-    """The span grammar over comments that are made from events; checked in tests."""
+    """The span grammar over comments that are made from events."""
     e = found(spark, d)
     text = F.concat(F.get(F.array(*[F.lit(x) for x in ("STRUCT -", "CH (-", "STYLE/SHORT -", "HOV see ")]), (F.col("event_id") % 4).cast("int")), F.col("k").cast("string"), F.when(F.col("event_id") % 4 == 1, ") long").otherwise(" rest"))
     rows = e.select(F.col("user_id").cast("string").alias("id"), text.alias("comment"), F.lit("2024").alias("year"), F.lit("int").alias("task_variant"), F.lit("").alias("source_file"), F.lit("1").alias("points"), F.lit("pdf").alias("doc_type"), F.lit(None).cast("string").alias("bonus_points"))
-    return files.explode_events(rows).groupBy("code", "impact_source", "impact_shared").agg(F.count(F.lit(1)).alias("n"), F.sum("impact").alias("impact"))
+    return files.explode_events(rows).groupBy("code", "impact_source", "impact_shared").agg(F.count(F.lit(1)).alias("n"), F.sum("impact").cast("double").alias("impact"))
 
 
 @query(f"""WITH {RULES_SQL}, {F_SQL} SELECT event_id, user_id, {IMPACT_SQL} AS impact, round(400.0 + coalesce(sum({IMPACT_SQL}) OVER (PARTITION BY user_id), 0), 2) AS doc_points FROM f LEFT JOIN rules ON event_type = ac_code""")
@@ -248,13 +249,11 @@ def q57_ols_trend(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.regr_slope("o_totalprice", "o_custkey"), 4).alias("slope"), F.round(F.regr_intercept("o_totalprice", "o_custkey"), 2).alias("intercept"))
 
 
-_BOOKS = [(1, 1, "A", "a1"), (1, 2, "B", "b1"), (2, 1, "A", "a2"), (2, 2, "C", "c2"), (2, 3, "C", "c3"), (3, 1, "D", "d3")]
-
-
-@query("SELECT code, title FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY file, pos) AS n FROM (VALUES " + ", ".join(map(str, _BOOKS)) + ") AS b(file, pos, code, title)) WHERE n = 1")
+# Orders play rules of rulebooks, one for each year: the first book that has a code tells its title.
+@query("""WITH b AS (SELECT year(o_orderdate) AS file, o_orderkey AS pos, o_custkey % 200 AS code, o_orderpriority || ' ' || o_orderkey AS title FROM orders) SELECT code, title FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY file DESC, pos) AS n FROM b) WHERE n = 1""")
 def q58_rubric_priority(spark, d):
-    books = spark.createDataFrame(_BOOKS, "file int, pos int, code string, title string")
-    return O.first_by(books, ["code"], [F.col("file"), F.col("pos")]).select("code", "title")
+    books = table(spark, d, "orders").select(F.year("o_orderdate").alias("file"), F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 200).alias("code"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("title"))
+    return O.first_by(books, ["code"], [F.desc("file"), F.col("pos")]).select("code", "title")
 
 
 @query("SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderstatus, round(avg(o_totalprice), 4) AS mean, round(1.96 * stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS half_width FROM orders GROUP BY 1, 2")

@@ -30,18 +30,22 @@ def q64_known_maximum(spark, d):
     return o.join(m, ["year", "variant"], "left").groupBy("year", "variant").agg(count().alias("n"), F.count("points").alias("n_known"), F.round(F.avg(C.score_pct(F.col("o_totalprice"), F.col("points"))), 3).alias("pct"))
 
 
-_FIT = [(1, "content", "cs", "local", "CH"), (1, "content", "cs", "local", "STYLE"), (2, "content", "en", "local", "CH"), (2, "content", "en", "local", "STYLE"), (3, "grammar", "en", "local", "CH"), (3, "grammar", "en", "local", "SPELLING"), (4, "grammar", "en", "local", "CH"), (5, "grammar", "cs", "local", "CH"), (6, "integrity", "en", "local", "COPY"), (7, "integrity", "en", "llm", "COPY")]
+# Parts play rules that fit a configuration: what single analysers make of them.
+_FIT_SQL = "f AS (SELECT p_size AS config_id, CASE p_size % 3 WHEN 0 THEN 'content' WHEN 1 THEN 'grammar' ELSE 'integrity' END AS analyser, CASE p_size % 4 WHEN 0 THEN 'cs' WHEN 1 THEN 'sk' ELSE 'en' END AS language, CASE p_size % 5 WHEN 0 THEN 'llm' ELSE 'local' END AS engine, list_extract(['CH', 'STYLE', 'SPELLING', 'COPY', 'GRAMMAR'], CAST(p_partkey % 5 AS INT) + 1) AS ac_code FROM part WHERE p_partkey % 7 > 2)"
 
 
-@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(map(str, _FIT)) + """) AS f(config_id, analyser, language, engine, ac_code))
-SELECT CAST(config_id AS INT) AS config_id, ac_code FROM f WHERE analyser = 'content' AND (language IN ('cs', 'sk') OR ac_code NOT IN ('CH', 'GRAMMAR', 'SPELLING'))
+@query(f"""WITH {_FIT_SQL}, u AS (SELECT config_id, ac_code FROM f WHERE analyser = 'content' AND (language IN ('cs', 'sk') OR ac_code NOT IN ('CH', 'GRAMMAR', 'SPELLING'))
 UNION ALL SELECT config_id, ac_code FROM f WHERE analyser = 'grammar' AND language = 'en' AND (ac_code IN ('GRAMMAR', 'SPELLING') OR ac_code = 'CH' AND config_id NOT IN (SELECT config_id FROM f WHERE ac_code IN ('GRAMMAR', 'SPELLING')))
-UNION ALL SELECT config_id, ac_code FROM f WHERE analyser = 'integrity' AND (ac_code <> 'COPY' OR engine <> 'local')""")
+UNION ALL SELECT config_id, ac_code FROM f WHERE analyser = 'integrity' AND (ac_code <> 'COPY' OR engine <> 'local')) SELECT config_id, ac_code, count(*) AS n FROM u GROUP BY 1, 2""")
 def q65_rule_overrides(spark, d):
-    f = spark.createDataFrame(_FIT, "config_id int, analyser string, language string, engine string, ac_code string")
+    s = F.col("p_size")
+    f = table(spark, d, "part").filter("p_partkey % 7 > 2").select(
+        s.alias("config_id"), F.when(s % 3 == 0, "content").when(s % 3 == 1, "grammar").otherwise("integrity").alias("analyser"), F.when(s % 4 == 0, "cs").when(s % 4 == 1, "sk").otherwise("en").alias("language"), F.when(s % 5 == 0, "llm").otherwise("local").alias("engine"),
+        F.get(F.array(*[F.lit(x) for x in ("CH", "STYLE", "SPELLING", "COPY", "GRAMMAR")]), (F.col("p_partkey") % 5).cast("int")).alias("ac_code"),
+    )
     of = lambda name: f.filter(F.col("analyser") == name)
     every = [U.content_rules(of("content")), U.grammar_rules(of("grammar"), "config_id"), U.integrity_rules(of("integrity"), F.col("engine"))]
-    return every[0].unionByName(every[1]).unionByName(every[2]).select("config_id", "ac_code")
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("config_id", "ac_code").agg(count().alias("n"))
 
 
 @query("""SELECT CASE WHEN p_size % 5 = 0 THEN 'classifier' WHEN p_size % 2 = 1 AND p_size % 3 = 0 THEN 'skipped' WHEN p_size % 2 = 1 THEN 'pages' ELSE 'diagrams' END AS route, count(*) AS n FROM part GROUP BY 1""")
@@ -182,14 +186,10 @@ def q82_event_fanout(spark, d):
 
 
 # Names of code in prose, blanks inside brackets, and how bad that is.
-@query(r"""WITH x AS (SELECT doc_id, len(regexp_extract_all(text, '\b(?:[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-zA-Z_][a-zA-Z0-9]*_[a-zA-Z][a-zA-Z0-9]*|[A-Z]{2,}(?:_[A-Z0-9]+)+)\b')) AS n_names, len(regexp_extract_all(text, '\( | \)')) AS n_brackets, len(regexp_extract_all(text, '[^\s]+')) AS words FROM documents)
+@query(rf"""WITH x AS (SELECT doc_id, len(regexp_extract_all(text, '{C.IDENTIFIER}')) AS n_names, len(regexp_extract_all(text, '\( | \)')) AS n_brackets, len(regexp_extract_all(text, '[^\s]+')) AS words FROM documents)
 SELECT doc_id, CAST(n_names AS BIGINT) AS n_names, CAST(n_brackets AS BIGINT) AS n_brackets, least(greatest(round(CASE WHEN words > 0 THEN (n_names + n_brackets) / words::DOUBLE END * 100, 3), 0.1), 1.0)::DOUBLE AS severity FROM x""")
 def q83_typeset(spark, d):
-    found_in = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
-    x = table(spark, d, "documents").select(
-        "doc_id", found_in(r"\b(?:[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-zA-Z_][a-zA-Z0-9]*_[a-zA-Z][a-zA-Z0-9]*|[A-Z]{2,}(?:_[A-Z0-9]+)+)\b").alias("n_names"),
-        found_in(r"\( | \)").alias("n_brackets"), found_in(r"[^\s]+").alias("words"),
-    )
+    x = table(spark, d, "documents").select("doc_id", F.size(C.identifiers(F.col("text"))).cast("long").alias("n_names"), C.loose_brackets(F.col("text")).cast("long").alias("n_brackets"), F.size(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).alias("words"))
     return x.select("doc_id", "n_names", "n_brackets", C.typeset_severity(F.col("n_names") + F.col("n_brackets"), F.col("words")).alias("severity"))
 
 
