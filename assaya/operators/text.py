@@ -117,8 +117,18 @@ def shingles(words: Column, size: int) -> Column:
     return F.array_distinct(F.when(F.size(words) >= size, F.transform(starts, lambda k: F.array_join(F.slice(words, k, F.lit(size)), " "))).otherwise(F.array().cast("array<string>")))
 
 
+#: Shingles of a source that are broadcast at most, so that documents aren't shuffled.
+BROADCAST_SHINGLES = 1_000_000
+
+
 def shared_shingles(docs: DataFrame, spec: DataFrame, doc: str, item: str, size: int = 8) -> DataFrame:
-    """How many shingles each document shares with each source item: an equi-join on shingles, never all pairs."""
-    a = docs.select(doc, words_of(F.col("text")).alias("w")).select(doc, F.explode(shingles(F.col("w"), size)).alias("g"))
-    b = spec.select(item, words_of(F.col("text")).alias("w")).select(item, F.explode(shingles(F.col("w"), size)).alias("g"))
-    return a.join(b, "g").groupBy(doc, item).agg(F.count(F.lit(1)).alias("shared"))
+    """How many shingles each document shares with each source item (J11): documents meet the source's shingles by a hash, then word for word.
+
+    The source's shingles are broadcast if they are few enough, so only matches are
+    ever shuffled; otherwise both sides are dealt out by the hash.
+    """
+    cut = lambda df, key: df.select(key, words_of(F.col("text")).alias("w")).select(key, F.explode(shingles(F.col("w"), size)).alias("g")).select(key, "g", F.xxhash64("g").alias("h"))
+    a, b = cut(docs, doc), cut(spec, item)
+    if b.count() <= BROADCAST_SHINGLES:
+        b = F.broadcast(b)
+    return a.join(b, ["h", "g"]).groupBy(doc, item).agg(F.count(F.lit(1)).alias("shared"))

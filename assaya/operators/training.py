@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assaya.operators.findings import first_by
 
@@ -35,10 +36,35 @@ def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.8, vali
 
 
 def unique_names(rows: DataFrame, folder: str, name: str, order: list[str]) -> DataFrame:
-    """A suffix _2, _3, ... where names meet in a folder (SNK7)."""
+    """A suffix _2, _3, ... where names meet in a folder, the lowest that no earlier row has taken (SNK7).
+
+    Only names that differ in such a suffix can meet, so each of their families is named
+    by itself, row by row; a family of one name, the usual case, is numbered by a window.
+    """
     at = F.row_number().over(Window.partitionBy(folder, name).orderBy(*order))
-    stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return rows.withColumn("unique_name", F.when(at == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), at.cast("string"), ext)))
+    stem, ext = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    root = F.regexp_replace(stem, r"(_\d+)+$", "")
+    marked = rows.withColumns({"__root": root, "__stem": stem, "__ext": ext})
+    family = marked.groupBy(folder, "__root", "__ext").agg((F.min(name) != F.max(name)).alias("__mixed"))
+    marked = marked.join(family, [folder, "__root", "__ext"])
+    plain = marked.filter("NOT __mixed").withColumn("unique_name", F.when(at == 1, F.col(name)).otherwise(F.concat("__stem", F.lit("_"), at.cast("string"), "__ext")))
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        taken, names, last = set(), [], {}
+        for own, stem, ext in zip(pdf[name], pdf["__stem"], pdf["__ext"], strict=True):
+            new, n = own, last.get(own, 1)
+            while new in taken:
+                n += 1
+                new = f"{stem}_{n}{ext}"
+            last[own] = n
+            taken.add(new)
+            names.append(new)
+        return pdf.assign(unique_name=names)
+
+    mixed = marked.filter("__mixed")
+    named = mixed.groupBy(folder, "__root", "__ext").applyInPandas(put, mixed.withColumn("unique_name", F.lit("")).schema)
+    return plain.unionByName(named).drop("__root", "__stem", "__ext", "__mixed")
 
 
 def audit_results(results: DataFrame) -> DataFrame:
@@ -96,7 +122,7 @@ def audit_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("processed"), of("parse_failure", "parse_failures"), of("invalid", "invalid"), of("unresolved", "unresolved"), of("good", "good"), of("bad", "bad"), F.count_if(F.coalesce("conflict", F.lit(False))).alias("conflicts"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _blake(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else hashlib.blake2b(x.encode(), digest_size=4).hexdigest())
 

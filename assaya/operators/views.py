@@ -104,9 +104,9 @@ def describe_all(df: DataFrame) -> DataFrame:
     others = [c for c in df.columns if c not in numbers]
     out = []
     if numbers:
-        v = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "column", "v").groupBy("column")
-        q = F.percentile("v", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-        out.append(v.agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max")).select("column", "count", "mean", "std", "min", *[F.col("q")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75"))], "max"))
+        v = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "column", "v")
+        sums = v.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+        out.append(sums.join(A.percentiles(v, ["column"], F.col("v"), [0.25, 0.5, 0.75]), "column", "left").select("column", "count", "mean", "std", "min", *[F.col("q")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75"))], "max"))
     if others:
         v = df.select(*[F.col(c).cast("string").alias(c) for c in others]).unpivot([], others, "column", "v")
         counts = v.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))

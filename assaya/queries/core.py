@@ -155,8 +155,8 @@ _WEIGHTS = "SELECT p_type AS code, round(least(greatest(quantile_cont(abs(l_disc
 @query(_WEIGHTS)
 def q11_weights_median(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    middle = F.percentile(F.abs(F.col("l_discount") - 0.05), F.lit(0.5))
-    return rows.groupBy(F.col("p_type").alias("code")).agg(F.round(F.least(F.greatest(middle, F.lit(0.0)), F.lit(1.0)), 6).alias("weight"))
+    w = A.percentiles(rows.select(F.col("p_type").alias("code"), F.abs(F.col("l_discount") - 0.05).alias("v")), ["code"], F.col("v"), [0.5])
+    return w.select("code", F.round(F.least(F.greatest(F.col("q")[0], F.lit(0.0)), F.lit(1.0)), 6).alias("weight"))
 
 
 _NEAR = [("TINY", "SMALL"), ("TINY", "MEDIUM"), ("HUGE", "LARGE"), ("HUGE", "PROMO"), ("HUGE", "UNKNOWN"), ("NONE", "UNKNOWN")]

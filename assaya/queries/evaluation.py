@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaya import fixed_values as V
 from assaya.functions import columns as C
 from assaya.operators import analysers as Y
+from assaya.operators import analytics as A
 from assaya.operators import findings as O
 from assaya.operators import gold as G
 from assaya.operators import records as D
@@ -249,7 +250,8 @@ def q137_assessment_run(spark, d):
 def q138_inferred_weights(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     code = pick(("JAK", "COPY", "SAZBA", "IR", "SHORT", "OOP", "BADUML", "STYLE", "CONTENT", "DP"), F.col("p_size") % 10)
-    w = rows.groupBy(code.alias("code")).agg(F.round(F.least(F.greatest(F.percentile("l_discount", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)), 6).alias("weight"))
+    w = A.percentiles(rows.select(code.alias("code"), "l_discount"), ["code"], F.col("l_discount"), [0.5])
+    w = w.select("code", F.round(F.least(F.greatest(F.col("q")[0], F.lit(0.0)), F.lit(1.0)), 6).alias("weight"))
     near = spark.createDataFrame([(a, b) for a, bs in V.WEIGHT_NEIGHBOURS.items() for b in bs], "code string, near string")
     new = near.join(w.select("code"), "code", "left_anti")
     return new.join(w.withColumnRenamed("code", "near"), "near").groupBy("code").agg(F.round(F.avg("weight"), 6).alias("weight"))

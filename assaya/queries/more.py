@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaya.functions import columns as C
@@ -107,19 +106,19 @@ def q37_presence_corr(spark, d):
 SELECT CASE WHEN o_totalprice <= q[1] THEN 1 WHEN o_totalprice <= q[2] THEN 2 WHEN o_totalprice <= q[3] THEN 3 ELSE 4 END AS quartile, count(*) AS n, round(avg(abs(o_totalprice - q[2])), 4) AS mean_error FROM orders, q GROUP BY 1""")
 def q38_quartile_error(spark, d):
     o = table(spark, d, "orders").select("o_totalprice")
-    middle = F.broadcast(o.agg(F.percentile("o_totalprice", F.lit(0.5)).alias("mid")))
-    return A.quartiles(o, "o_totalprice").join(middle, F.lit(True)).groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("o_totalprice") - F.col("mid"))), 4).alias("mean_error"))
+    middle = A.percentiles(o, [], F.col("o_totalprice"), [0.5]).select(F.col("q")[0].alias("mid"))
+    return A.quartiles(o, "o_totalprice").join(F.broadcast(middle), F.lit(True)).groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("o_totalprice") - F.col("mid"))), 4).alias("mean_error"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, round(cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 8) AS share FROM orders")
 def q39_ecdf(spark, d):
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.round(F.cume_dist().over(w), 8).alias("share"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return A.shares(o, ["o_orderpriority"], "o_totalprice").select("o_orderkey", "o_orderpriority", F.round("share", 8).alias("share"))
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 4) AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM lineitem GROUP BY 1")
 def q40_box_stats(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"))
+    g = A.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), [0.05, 0.25, 0.5, 0.75, 0.95])
     return g.select("l_returnflag", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p05", "p25", "p50", "p75", "p95"))])
 
 

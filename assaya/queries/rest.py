@@ -93,9 +93,8 @@ def q71_tool_totals(spark, d):
 @query("""SELECT CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END::INT AS mode_order, l_shipmode AS mode, count(*) AS n, round(avg(l_quantity), 4) AS mean, round(quantile_cont(l_quantity, 0.5), 4) AS median, round(quantile_cont(l_quantity, 0.95), 4) AS p95
 FROM (SELECT *, l_linestatus || l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1, 2""")
 def q72_parse_timing(spark, d):
-    x = table(spark, d, "lineitem")
-    q = lambda p, n: F.round(F.percentile("l_quantity", F.lit(p)), 4).alias(n)
-    return x.groupBy(F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("mode_order"), F.concat("l_linestatus", "l_returnflag").alias("mode")).agg(count().alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean"), q(0.5, "median"), q(0.95, "p95"))
+    x = table(spark, d, "lineitem").select(F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("mode_order"), F.concat("l_linestatus", "l_returnflag").alias("mode"), "l_quantity")
+    return A.timing_stats(x, ["mode_order", "mode"], "l_quantity", {"median": 0.5, "p95": 0.95})
 
 
 @query(f"""WITH s AS (SELECT {_DECISION} AS status, user_id FROM events)
@@ -263,14 +262,15 @@ def q90_good_candidates(spark, d):
 @query("""SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderstatus AS variant, count(*) AS n, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1, 2""")
 def q91_counts_by_year(spark, d):
     """P4, P7, A28."""
-    return table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("variant")).agg(count().alias("n"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("median"))
+    x = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("variant"), "o_totalprice")
+    return A.timing_stats(x, ["year", "variant"], "o_totalprice", {"median": 0.5}).drop("mean")
 
 
 @query("""WITH x AS (SELECT length(text) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT quantile_cont(n, 0.99) AS cut FROM x) SELECT CAST(n // 5 * 5 AS BIGINT) AS low, count(*) AS n_docs FROM x, c WHERE n <= cut GROUP BY 1""")
 def q92_length_histogram(spark, d):
     """Lengths in bins of five up to the 99th percentile (P10)."""
     x = table(spark, d, "documents").select(F.length("text").alias("n")).dropna()
-    cut = F.broadcast(x.agg(F.percentile("n", F.lit(0.99)).alias("cut")))  # one row
+    cut = F.broadcast(A.percentiles(x, [], F.col("n"), [0.99]).select(F.col("q")[0].alias("cut")))  # one row
     return x.join(cut, F.col("n") <= F.col("cut")).groupBy((F.floor(F.col("n") / 5) * 5).cast("long").alias("low")).agg(count().alias("n_docs"))
 
 
@@ -279,8 +279,8 @@ SELECT variant, metric, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS q1, r
 def q93_metric_boxes(spark, d):
     """Quartiles of several metrics for each variant."""
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("variant"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    q = lambda p, n: F.round(F.percentile("v", F.lit(p)), 6).alias(n)
-    return x.unpivot(["variant"], ["quantity", "discount", "tax"], "metric", "v").groupBy("variant", "metric").agg(F.count("v").alias("n"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"))
+    v = x.unpivot(["variant"], ["quantity", "discount", "tax"], "metric", "v")
+    return A.timing_stats(v, ["variant", "metric"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, 6).drop("mean")
 
 
 @query(f"""WITH {RULES_SQL}, {F_SQL}, i AS (SELECT event_id, user_id, {IMPACT_SQL} AS impact, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS wanted FROM f LEFT JOIN rules ON event_type = ac_code)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaya import fixed_values as V
+from assaya.operators import analytics as A
 from assaya.operators import training as R
 from assaya.queries.core import F_SQL, found, query, table
 from assaya.sources import files, runs
@@ -106,7 +107,7 @@ def q146_parser_timings(spark, d):
     path = scratch(spark, "timings")
     files.write_csv(table(spark, d, "lineitem").select(pick(("base", "tables", "ocr", "both", "other"), F.col("l_linenumber") % 5).alias("mode"), F.col("l_quantity").alias("elapsed_seconds")), path)
     t = runs.parser_timings(spark, path)
-    return t.groupBy("mode", "mode_order").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("elapsed_seconds"), 4).alias("mean"), F.round(F.percentile("elapsed_seconds", F.lit(0.95)), 4).alias("p95"))
+    return A.timing_stats(t, ["mode", "mode_order"], "elapsed_seconds", {"p95": 0.95})
 
 
 # A manifest of images in JSON lines without those whose file is missing (SRC13, SNK6, X35); nulls aren't written.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaya.functions import columns as C
+from assaya.operators import analytics as A
 from assaya.operators import training as R
 from assaya.queries.core import query, table
 
@@ -120,5 +121,6 @@ SELECT metric, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6)
 def q111_describe(spark, d):
     """Count, mean, deviation, bounds and median of every metric in one pass."""
     x = table(spark, d, "lineitem").select(*[F.col(f"l_{n}").cast("double").alias(n) for n in ("quantity", "discount", "tax")])
-    v = x.unpivot([], ["quantity", "discount", "tax"], "metric", "v").groupBy("metric")
-    return v.agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("least"), F.median("v").alias("median"), F.max("v").alias("most"))
+    v = x.unpivot([], ["quantity", "discount", "tax"], "metric", "v")
+    sums = v.groupBy("metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return sums.join(A.percentiles(v, ["metric"], F.col("v"), [0.5]), "metric").select("metric", "n", "mean", "std", "least", F.col("q")[0].alias("median"), "most")

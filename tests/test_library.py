@@ -74,7 +74,7 @@ def test_assessment_run(spark):
 def test_section_paths(spark):
     docs = spark.createDataFrame([(1, "# A\ntext\n### B\n## C\n\n![x](y)")], "doc_id long, text string")
     got = [(r.kind, r.section_path) for r in T.section_paths(T.markdown_items(docs), "doc_id", "seq").orderBy("seq").collect()]
-    assert got == [("heading", "A"), ("text", "A"), ("heading", "A > B"), ("heading", "A > C"), ("blank", "A > C"), ("picture", "A > C")]
+    assert got == [("heading", "A"), ("text", "A"), ("heading", "A > B"), ("heading", "A > C"), ("picture", "A > C")]
 
 
 def test_copy_confidence(spark):
@@ -159,3 +159,93 @@ def test_image_tokens_and_boxes(spark):
 
     df = spark.createDataFrame(sizes, "w int, h int")
     assert {(r.w, r.h): r.t for r in df.select("w", "h", C.image_tokens(F.col("w"), F.col("h")).alias("t")).collect()} == {(w, h): tokens(w, h) for w, h in sizes}
+
+
+def test_unique_names_that_meet_a_suffix(spark):
+    names = ["a.png", "a_2.png", "a.png", "a.png", "b.png", "a_2.png", "a_2_2.png", ".hidden", "c", "c"]
+    rows = spark.createDataFrame([(1, k, n) for k, n in enumerate(names)] + [(2, 99, "a.png")], "folder int, k int, name string")
+    got = {r.k: r.unique_name for r in R.unique_names(rows, "folder", "name", ["k"]).collect()}
+    taken: set = set()
+    for k, name in enumerate(names):
+        new, n = name, 1
+        stem, dot, ext = name.rpartition(".") if name.rfind(".") > 0 else (name, "", "")
+        while new in taken:
+            n += 1
+            new = f"{stem}_{n}{dot}{ext}"
+        taken.add(new)
+        assert got[k] == new, (k, name)
+    assert got[99] == "a.png"
+
+
+def test_markdown_items(spark):
+    text = "Intro line\nmore `x`\n\n# Title ##\ntext_name\n===\n- one\n  two\n* three\n\n```py\n# no heading\n\n```\n| a |\n| b |\n***\n![p](x.png)\n## \nlast"
+    items = [(r.kind, r.level, r.text, r.start_line) for r in T.markdown_items(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("seq").collect()]
+    assert items == [("text", None, "Intro line more `x`", 1), ("heading", 1, "Title", 4), ("heading", 1, "text_name", 5), ("list", None, "one two", 7), ("list", None, "three", 9), ("code", None, "# no heading\n", 11), ("table", None, "| a |\n| b |", 15), ("picture", None, "![p](x.png)", 18), ("heading", 2, "", 19), ("text", None, "last", 20)]
+
+
+def test_last_rule_and_stages(spark, tmp_path):
+    f = spark.createDataFrame([("d", 1, "1", "X", 0.5, "to_be_judged"), ("e", 1, "1", "X", 1.0, "to_be_judged")], "doc_id string, seq int, finding_id string, ac_code string, severity double, judge_status string")
+    rules = spark.createDataFrame([("X", 0.5, 1), ("X", 0.1, 2)], "ac_code string, severity_weight double, position int")
+    failed = spark.createDataFrame([("e", 0, "P-1", "MISSING", "not_to_be_judged")], "doc_id string, seq int, finding_id string, ac_code string, judge_status string")
+    stages = assessment.run(f, rules, None, 100.0, failed=failed, sink=f"file://{tmp_path}/run")
+    got = {(r.doc_id, r.ac_code): r.impact for r in stages["scored"].collect()}
+    assert got == {("d", "X"): -5.0, ("e", "MISSING"): None}
+    assert {p.name for p in (tmp_path / "run").iterdir()} == {"raw", "judged", "final", "scored"}
+
+
+def test_similarity_maxima(spark, monkeypatch):
+    import numpy as np
+
+    from assaya.operators import similarity as S
+
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((90, 5)), rng.standard_normal((50, 5))
+    b[7] = b[3]
+    units = spark.createDataFrame([(k % 4, k, v.tolist()) for k, v in enumerate(a)], "doc_id long, unit long, vec array<double>")
+    spec = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(b)], "spec_id long, vec array<double>")
+    rows, columns = S.similarity_maxima(units, spec, over=0.5)
+    sims = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    for r in rows.collect():
+        assert (r.spec_id, r.n_over) == (int(sims[r.unit].round(12).argmax()), int((sims[r.unit] > 0.5).sum())) and abs(r.sim - sims[r.unit].max()) < 1e-12
+    got = {(r.doc_id, r.spec_id): r.sim for r in columns.collect()}
+    assert len(got) == 200 and all(abs(s - sims[d::4, k].max()) < 1e-12 for (d, k), s in got.items())
+
+
+def test_correlation_p_values():
+    for r, n, want in ((0.5, 10, 0.14111), (0.0, 5, 1.0), (0.9, 3, 0.28713), (-0.2, 102, 0.04386), (1.0, 4, 0.0)):
+        assert abs(C.beta_share(1 - r * r, (n - 2) / 2, 0.5) - want) < 5e-5
+
+
+def test_config_hash_ignores_order_and_run(spark):
+    texts = ['{"b": [1, {"y": 2, "x": "é"}], "a": null, "run_id": "1"}', '{"run_id":"2","a":null,"b":[1,{"x":"é","y":2}]}', '{"a":null,"b":[1,{"x":"e","y":2}]}']
+    from assaya.operators import records as D
+
+    got = [one(spark, D.config_hash(F.lit(t))) for t in texts]
+    assert got[0] == got[1] != got[2]
+
+
+def test_issue_messages(spark):
+    from assaya.operators import analysers as Y
+
+    message = lambda s, r: one(spark, Y.issue_message(F.lit("misspelling"), F.lit(s).cast("string"), F.array(*[F.lit(x) for x in r]).cast("array<string>")))
+    for s in ("word", "it's", 'say "x"', "a'b\"c", "tab\tnew\nline", "back\\slash"):
+        assert message(s, []) == f"Spelling Error: {s!r}"
+    assert message("x", ["a", "b'", "c", "d"]) == "Spelling Error: 'x'. Maybe: 'a', \"b'\", 'c'"
+    assert message(None, []) == "Spelling Error"
+
+
+def test_percentiles_and_shares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(k, None if rng.random() < 0.1 else float(v)) for k in ("a", "b", None) for v in [*rng.standard_normal(200).round(2), *rng.integers(0, 5, 200), 1e9]] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: list(r.q) for r in A.percentiles(df, ["k"], F.col("v"), [0.0, 0.25, 0.5, 0.95, 1.0]).collect()}
+    shares = {(r.k, r.v): r.share for r in A.shares(df.filter("v IS NOT NULL"), ["k"], "v").collect()}
+    for k in ("a", "b", None, "one"):
+        own = np.array([v for key, v in rows if key == k and v is not None])
+        assert np.allclose(got[k], np.quantile(own, [0.0, 0.25, 0.5, 0.95, 1.0]))
+        assert all(abs(shares[k, v] - (own <= v).mean()) < 1e-12 for v in own)
+    assert "none" not in got
+    assert list(A.percentiles(df.filter("k = 'one'"), [], F.col("v"), [0.5]).first()["q"]) == [3.0]
