@@ -230,10 +230,14 @@ def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None, stored: Snap
     classes = repeated.groupBy("digest", "body").agg(F.max("doc_id").alias("top_id"), F.count(F.lit(1)).alias("n"))
     checked = written(classes.select("digest", "top_id", "n", F.md5("body").alias("mark")), "exact-classes")
     clashing = checked.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("digest")
-    clear = checked.join(clashing, "digest", "left_anti").select("digest", "top_id", "n")
-    plain = join_groups(marked.select("doc_id", "digest").join(clashing, "digest", "left_anti"), clear, ["digest"], "n", total)
-    split = hashed.join(F.broadcast(clashing), "digest").select("doc_id", "digest", F.md5("body").alias("mark")).join(checked, ["digest", "mark"]).select("digest", "doc_id", "top_id", "n")
-    every = plain.select("digest", "doc_id", "top_id", "n").unionByName(split)
+    rows = marked.select("doc_id", "digest")
+    if clashing.isEmpty():  # so it is with SHA-256
+        every = join_groups(rows, checked.select("digest", "top_id", "n"), ["digest"], "n", total)
+    else:
+        clear = checked.join(clashing, "digest", "left_anti").select("digest", "top_id", "n")
+        plain = join_groups(rows.join(clashing, "digest", "left_anti"), clear, ["digest"], "n", total)
+        split = hashed.join(clashing, "digest").select("doc_id", "digest", F.md5("body").alias("mark")).join(checked, ["digest", "mark"]).select("digest", "doc_id", "top_id", "n")
+        every = plain.select("digest", "doc_id", "top_id", "n").unionByName(split)
     return every.select(
         "doc_id",
         F.coalesce("top_id", "doc_id").alias("keep_id"),

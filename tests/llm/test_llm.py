@@ -260,6 +260,52 @@ def test_simhash_links(spark, monkeypatch):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def brute_similar(rows, least=0.8, shingle=5):
+    """Smallest id of each row's component under the Jaccard similarity of word shingles; rows without an id only have their equals'."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets.append(frozenset(tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset())
+    left, out = {k for k, (d, _) in enumerate(rows) if d is not None}, {}
+    while left:
+        todo, comp = [left.pop()], []
+        while todo:
+            k = todo.pop()
+            comp.append(k)
+            near = [j for j in left if sets[k] == sets[j] or len(sets[k] & sets[j]) >= least * len(sets[k] | sets[j]) > 0]
+            left.difference_update(near)
+            todo += near
+        out.update(dict.fromkeys(comp, min(rows[k][0] for k in comp)))
+    own = {sets[k]: c for k, c in out.items()}
+    return {k: out.get(k, own.get(sets[k])) for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("tiles", [False, True])
+def test_similar_documents(spark, monkeypatch, tiles):
+    if tiles:
+        monkeypatch.setattr(simhash, "TILE", 8)
+        monkeypatch.setattr(simhash, "TILE_SHINGLES", 2000)
+    rng = random.Random(21)
+    say = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+    texts = [None, "", "  ", "one", "One", "two words", "a b c d e", "a b c d f"]
+    for _ in range(25):  # copies with more and more words changed, and chains of them
+        words = say(rng.choice((40, 150, 600)))
+        for _ in range(rng.randint(1, 6)):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(0, max(1, len(words) // 50))):
+                words[rng.randrange(len(words))] = rng.choice(("x", "y", "z"))
+    many = say(300)  # a large group of near copies
+    for k in range(60):
+        texts.append(" ".join(many[:k] + [f"v{k}"] + many[k + 1 :]))
+    rows = [(k * 2, t) for k, t in enumerate(texts)]
+    rows += [(6, "another text of that id"), (None, " ".join(many)), (None, "no id"), rows[20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"cell": F.lit(1), "n": F.lit("x"), "component": F.lit(2)})
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_documents(df).collect()), key=str)
+    want = brute_similar(rows)
+    assert got == sorted(((d, want[k]) for k, (d, _) in enumerate(rows)), key=str)
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
 def test_components_of_stars(spark):
     """An id of many edges, and a component of many ids, are no key of one task."""
     edges = spark.createDataFrame([(5, k) for k in range(10, 700)] + [(1000 + k, 2000) for k in range(150)] + [(2000, 699)], "a long, b long")

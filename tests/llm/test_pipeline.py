@@ -5,7 +5,7 @@ import zlib
 import corpus_pipeline
 import public_tokenizers
 from assaya.llm import language_id, secrets
-from test_llm import brute_components, low
+from test_llm import brute_similar, low
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +31,9 @@ def test_stages(spark):
         best[low(r.text)] = max(best.get(low(r.text), d), d)
     assert set(single) == set(best.values())
     rows = [(d, r.text) for d, r in single.items()]
-    _, comp = brute_components(rows)
+    comp = brute_similar(rows)
     assert set(apart) == {rows[k][0] for k, c in comp.items() if rows[k][0] == c}
+    assert len(apart) < len(single)
     assert set(clean) == set(apart)
     ranks = secrets.ranked(secrets.vocabulary_words(public_tokenizers.path("word_bpe_49k.json")))
     for d, r in clean.items():
@@ -73,3 +74,14 @@ def test_a_corpus_without_labels_stays(spark):
     rows = [(1, "the house of the sea", None, "s", 20), (2, None, None, "s", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.languages(spark, docs, SF).collect()} == {1, 2}
+
+
+def test_a_long_text_goes_through_all_stages(spark):
+    long = " ".join(f"the house {k} of the sea" for k in range(40_000)) + " password=abcdefgh"
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", None), (3, "la maison de la mer", "fr", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(f(spark, docs, SF).collect(), docs.schema)
+    assert {r.doc_id for r in docs.collect()} == {1, 3}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) == next(r.doc_tokens for r in packed if r.doc_id == 1) > 4096
