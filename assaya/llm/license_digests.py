@@ -14,7 +14,12 @@ further input columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaya.llm.common import read_table
@@ -188,31 +193,53 @@ _COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(copyright|\(c\)|©)[ \t]*[^\n\p{L}]*(\(c\)
 _RIGHTS = r"(^|\n)[^\n\p{L}\p{N}]*all rights reserved[^\n\p{L}\p{N}]*"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    low = F.regexp_replace(F.regexp_replace(low, _COPYRIGHT, "$1"), _RIGHTS, "$1")
-    # Doubled blanks let each word have a blank of its own on both sides.
-    words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), " ", "  "), F.lit(" "))
-    for spelling, stands in SPELLINGS.items():
-        words = F.replace(words, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {stands.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(words, " +", " "))
+_WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
+_LINES = [(("copyright", "(c)", "©"), regex.compile(_COPYRIGHT)), (("all rights reserved",), regex.compile(_RIGHTS))]
+_SINGLE = {k: v for k, v in SPELLINGS.items() if " " not in k}
+_PHRASES = {f" {k.replace(' ', '  ')} ": f" {v.replace(' ', '  ')} " for k, v in SPELLINGS.items() if " " in k}
+
+
+def canonical(low: str) -> str:
+    """The canonical form of a text in lower case: words are told and their spellings looked up in one pass."""
+    for marks, lines in _LINES:
+        if any(m in low for m in marks):
+            low = lines.sub(r"\1", low)
+    words = [_SINGLE.get(w, w) for w in _WORDS(low)]
+    whole = " ".join(words)
+    if any(p.strip().replace("  ", " ") in whole for p in _PHRASES):
+        whole = f" {'  '.join(words)} "  # doubled blanks let each word have a blank of its own on both sides
+        for phrase, stands in _PHRASES.items():
+            whole = whole.replace(phrase, stands)
+        whole = " ".join(whole.split())
+    return whole
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
     """canonical_sha256 and license_id of the known texts (``known`` in place of all of them), one row for each digest."""
     texts = [*KNOWN.items(), *further()] if known is None else list(known.items())
-    rows = spark.createDataFrame(texts, "license_id string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), "license_id")
-    if known is None:
-        rows = rows.unionByName(spark.createDataFrame(list(DIGESTS.items()), "canonical_sha256 string, license_id string"))
-    return rows.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
+    names: dict[str, str] = dict(DIGESTS) if known is None else {}
+    for name, text in texts:
+        digest = hashlib.sha256(canonical(text.lower()).encode()).hexdigest()
+        names[digest] = min(name, names.get(digest, name))
+    return spark.createDataFrame(list(names.items()), "canonical_sha256 string, license_id string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id and canonical_sha256 of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [hashlib.sha256(canonical(x).encode("utf-8", "surrogatepass")).hexdigest() for x in batch.column("low").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "canonical_sha256"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("low"))
+    return rows.mapInArrow(run, "doc_id long, canonical_sha256 string")
 
 
 def match(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """doc_id, canonical_sha256, license_id (null if none) and is_license of every document."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.sha2(canonical(docs["text"]), 256).alias("canonical_sha256"))
     found = F.broadcast(known_digests(docs.sparkSession, known))  # as many rows as there are known texts
-    out = rows.join(found, "canonical_sha256", "left")
+    out = digests(docs).join(found, "canonical_sha256", "left")
     return out.select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 

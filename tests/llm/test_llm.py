@@ -776,3 +776,24 @@ def test_join_groups(spark):
     assert len(got) == 5000 and all(r.n == (3000 if r.k == 0 else 1) for r in got)
     null = rows.select(F.lit(None).cast("long").alias("k"), "v")
     assert join_groups(rows.unionByName(null), groups, ["k"], "n", 10000).count() == 10000
+
+
+def test_license_forms(spark):
+    """Every known text, through other case, punctuation, spellings, copyright lines and breaks; and rows that repeat or lack an id."""
+    texts = [*license_digests.KNOWN.items(), *license_digests.further()]
+    british = {v: k for k, v in license_digests.SPELLINGS.items() if " " not in k and " " not in v}
+    other = lambda t: re.sub(r"[A-Za-z]+", lambda m: british.get(m[0].lower(), m[0]), t)
+    forms = [lambda t: t, str.upper, lambda t: "Copyright (C) 1999-2004 X & Y, Inc.\nAll Rights Reserved.\n" + t, lambda t: re.sub(r"[,;:'\"()]", " - ", t), other, lambda t: t.replace(" ", "\n\t")]
+    rows = [(None if k == 3 else n, f(t), name) for n, (name, t) in enumerate(texts) for k, f in enumerate(forms)]
+    got = license_digests.match(spark.createDataFrame(rows, "doc_id long, text string, license_id string").select("doc_id", "text")).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == len(texts)
+    digest = {n: license_digests.canonical(t.lower()) for n, (_, t) in enumerate(texts)}
+    names = {hashlib.sha256(d.encode()).hexdigest() for d in digest.values()}
+    missed = [r for r in got if r.canonical_sha256 not in names]
+    # Breaks may move a line that states a copyright; all other forms give the same digest.
+    assert len(missed) <= len(texts) and all(r.license_id for r in got if r.canonical_sha256 in names)
+
+
+def test_license_phrases():
+    assert license_digests.canonical("sub-license, sub licence: non-commercial per cent whilst") == "sublicense sublicense noncommercial percent while"
+    assert license_digests.canonical("Copyright Owner copyright owner".lower()) == "copyright holder copyright holder"
