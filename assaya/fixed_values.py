@@ -59,3 +59,7 @@ doc_type bonus_points severity confidence judge_status human_status finding_id""
 HIDDEN_CODES = ["AIDOC", "DSC_EXT"]
 #: Folders that a variant's submissions may lie in, the first that there is counts.
 VARIANT_FOLDERS = {"int": ["interpret", "int"], "par": ["parse", "parser"], "php": ["php"], "py": ["python", "py"]}
+#: Keys of a rule; those that must be there as text.
+RULE_KEYS = """title ac_code severity_weight is_legacy prompt_instruction judge_instruction analyser_id course language backend
+requires_pages""".split()
+RULE_TEXTS = ("title", "ac_code", "prompt_instruction", "analyser_id")

@@ -105,3 +105,58 @@ def finding_summary(findings: DataFrame) -> Column:
     evidence = F.when(F.col("cref").isNotNull(), F.coalesce(F.concat(F.lit('  Evidence [1]: "'), short_text(F.col("snippet")), F.lit('"')), F.lit("  Evidence [1]: (No snippet provided)")))
     notes = F.when(F.size("notes") > 0, F.concat(F.lit("  Notes: "), F.array_join("notes", ", ")))
     return F.concat_ws("\n", F.concat(F.lit("["), F.col("finding_id"), F.lit("]:")), F.col("summary"), figures, evidence, notes)
+
+
+def operational_fields(info: DataFrame, doc: str = "doc_id", text: str = "info", generators: str = "generator_models", judges: str = "judge_models") -> DataFrame:
+    """A document's record in the columns of an evaluation (E2, X29-X31): ``text`` is its JSON, the models are lists joined by ", ".
+
+    Costs by role are sums over the models of that role, null where none is named or a
+    cost isn't known; the analysers' time is that of all stages but parsing and judging.
+    """
+    get = lambda path, kind: F.get_json_object(text, f"$.{path}").cast(kind)
+    models = F.from_json(F.get_json_object(text, "$.usage.by_model"), "map<string, struct<calls: bigint, cost_eur: double>>")
+    stages = F.from_json(F.coalesce(F.get_json_object(text, "$.stage_times"), F.lit("{}")), "map<string, double>")
+    mime = F.coalesce(get("input.origin.mimetype", "string"), F.lit(""))
+
+    def of(names: str):
+        named = F.split(F.col(names), ", ")
+        own = F.filter(F.map_entries(F.coalesce(models, F.create_map().cast("map<string, struct<calls: bigint, cost_eur: double>>"))), lambda x: F.array_contains(named, x["key"]))
+        return F.when(F.coalesce(F.col(names), F.lit("")) != "", F.aggregate(own, F.lit(0.0), lambda s, x: s + x["value"]["cost_eur"]))
+
+    calls = F.aggregate(F.map_values(models), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["calls"], F.lit(0)))
+    analysing = F.aggregate(F.filter(F.map_entries(stages), lambda x: ~x["key"].isin("parse", "judge")), F.lit(0.0), lambda s, x: s + x["value"])
+    return info.select(
+        doc, F.when(F.contains(mime, F.lit("pdf")), "pdf").when(F.contains(mime, F.lit("markdown")), "md").alias("doc_type"), get("usage.total_cost_eur", "double").alias("cost_eur"), of(generators).alias("generator_cost_eur"), of(judges).alias("judge_cost_eur"),
+        *[get(f"usage.total_{c}", "long").alias(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens")], F.when(F.size(models) > 0, calls).alias("n_api_calls"), get("elapsed_seconds", "double").alias("elapsed_seconds"),
+        stages["parse"].alias("parse_time"), F.nullif(F.round(analysing, 2), F.lit(0.0)).alias("analyser_time"), stages["judge"].alias("judge_time"), get("document.total_words", "long").alias("total_words"), get("document.total_pictures", "long").alias("total_pictures"),
+    )
+
+
+def page_payload(pages: DataFrame, footer: str, doc: str = "doc_id") -> DataFrame:
+    """What a vision model is shown of a document without diagrams: its pages in order, each with its reference, then the footer.
+
+    ``pages`` have page_no and content, a PNG or null; documents without a page image have no row, as no call is made for them.
+    """
+    url = F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64("content"), "\r\n", ""))
+    shown = pages.filter("content IS NOT NULL").select(doc, F.struct("page_no", F.concat(F.lit("[Ref: #/pages/"), F.col("page_no").cast("string"), F.lit("]")).alias("ref"), url.alias("url")).alias("page"))
+    blocks = shown.groupBy(doc).agg(F.array_sort(F.collect_list("page")).alias("pages"))  # a document's own pages
+    text = lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"), F.lit(None).cast("struct<url: string>").alias("image_url"))
+    image = lambda x: F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(x.alias("url")).alias("image_url"))
+    content = F.concat(F.flatten(F.transform("pages", lambda p: F.array(text(p["ref"]), image(p["url"])))), F.array(text(F.lit(footer))))
+    return blocks.select(doc, F.size("pages").alias("images_sent"), F.to_json(content).alias("content"))
+
+
+def rule_errors(text: Column) -> Column:
+    """What is wrong with a rule's JSON, in order of its keys; none if it may be used (SRC11): unknown and missing keys, types, values."""
+    rule = F.from_json(text, "map<string, variant>")
+    kind = lambda k: F.regexp_extract(F.schema_of_variant(F.element_at(rule, k)), r"^([A-Z]+)", 1)
+    value = lambda k, as_: F.try_variant_get(F.element_at(rule, k), "$", as_)
+    has = lambda k: F.map_contains_key(rule, F.lit(k)) & (F.coalesce(kind(F.lit(k)), F.lit("VOID")) != "VOID")
+    told = [F.when(~has(k), F.lit(f"missing {k}")) for k in V.RULE_TEXTS]
+    told += [F.when(has(k) & (kind(F.lit(k)) != "STRING"), F.lit(f"type {k}")) for k in (*V.RULE_TEXTS, "judge_instruction", "language", "course", "backend")]
+    number = kind(F.lit("severity_weight")).isin("BIGINT", "DOUBLE", "DECIMAL", "INT", "TINYINT", "SMALLINT")
+    told.append(F.when(has("severity_weight") & ~number, F.lit("type severity_weight")).when(has("severity_weight") & (value(F.lit("severity_weight"), "double") < 0), F.lit("value severity_weight")))
+    told += [F.when(has(k) & (kind(F.lit(k)) != "BOOLEAN"), F.lit(f"type {k}")) for k in ("is_legacy", "requires_pages")]
+    told += [F.when(has(k) & (kind(F.lit(k)) == "STRING") & ~value(F.lit(k), "string").isin(*some), F.lit(f"value {k}")) for k, some in (("course", ["ifj", "ipp"]), ("backend", ["vision", "classifier", "deterministic"]))]
+    unknown = F.transform(F.filter(F.sort_array(F.map_keys(rule)), lambda k: ~k.isin(V.RULE_KEYS)), lambda k: F.concat(F.lit("unknown "), k))
+    return F.when(rule.isNull() | ~F.startswith(F.trim(text), F.lit("{")), F.array(F.lit("no object"))).otherwise(F.concat(F.array_compact(F.array(*told)), unknown))

@@ -1,4 +1,4 @@
-r"""Queries q156-q175: reports and what readers see, each with its SQL twin."""
+r"""Queries q156-q179: reports and what readers see, each with its SQL twin."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaya.functions import columns as C
 from assaya.operators import findings as O
 from assaya.operators import gold as G
+from assaya.operators import records as D
 from assaya.operators import training as R
 from assaya.operators import views as W
 from assaya.plans import assessment
@@ -232,3 +233,41 @@ def q176_ordered_variants(spark, d):
     """R4."""
     p = F.col("o_orderpriority")
     return W.ordered_variants(table(spark, d, "orders").select(F.when(p < "3", "par").when(p < "5", "int").otherwise("other").alias("task_variant")), "task_variant").select("place", "task_variant")
+
+
+# Records of documents in an evaluation's columns.
+@query("""WITH x AS (SELECT o_orderkey AS doc_id, o_custkey AS c FROM orders)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' END AS doc_type, CASE WHEN c % 5 > 0 THEN c / 8.0::DOUBLE END AS cost_eur, CASE WHEN c % 4 > 0 THEN (c % 7) / 4.0::DOUBLE + CASE WHEN c % 4 = 1 THEN (c % 3) / 2.0::DOUBLE ELSE 0 END END AS generator_cost_eur, CASE WHEN c % 2 = 0 THEN (c % 3) / 2.0::DOUBLE END AS judge_cost_eur,
+c * 10 AS prompt_tokens, NULL::BIGINT AS completion_tokens, c % 9 AS cached_tokens, CAST(c % 6 + 2 AS BIGINT) AS n_api_calls, 1.5::DOUBLE AS elapsed_seconds, 0.25::DOUBLE AS parse_time, nullif(c % 3 + 0.5 * (c % 2), 0)::DOUBLE AS analyser_time, CASE WHEN c % 2 = 0 THEN 3.5::DOUBLE END AS judge_time, CASE WHEN c % 3 > 0 THEN c END AS total_words, NULL::BIGINT AS total_pictures FROM x""")
+def q177_info_fields(spark, d):
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    model = lambda calls, cost: F.struct(calls.alias("calls"), cost.alias("cost_eur"))
+    info = F.struct(
+        F.struct(F.struct(pick(("application/pdf", "text/markdown", "text/plain"), k % 3).alias("mimetype")).alias("origin")).alias("input"),
+        F.struct(F.when(c % 5 > 0, c / 8).alias("total_cost_eur"), (c * 10).alias("total_prompt_tokens"), (c % 9).alias("total_cached_tokens"), F.struct(model(c % 6, (c % 7) / 4).alias("m1"), model(F.lit(2).cast("long"), (c % 3) / 2).alias("m2")).alias("by_model")).alias("usage"),
+        F.struct(F.lit(0.25).alias("parse"), (c % 3).cast("double").alias("content_analyser"), (c % 2 * 0.5).alias("score"), F.when(c % 2 == 0, 3.5).alias("judge")).alias("stage_times"), F.lit(1.5).alias("elapsed_seconds"), F.when(c % 3 > 0, F.struct(c.alias("total_words"))).alias("document"),
+    )
+    x = table(spark, d, "orders").select(k.alias("doc_id"), F.to_json(info).alias("info"), F.when(c % 4 == 1, "m1, m2").when(c % 4 > 1, "m1").otherwise("").alias("generator_models"), F.when(c % 2 == 0, "m2").alias("judge_models"))
+    return D.operational_fields(x)
+
+
+# Pages as a vision model is shown them.
+@query("""WITH x AS (SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations WHERE turn % 3 > 0 OR conv_id % 4 = 0) SELECT doc_id, CAST(count(*) AS INT) AS images_sent, md5('[' || string_agg('{"type":"text","text":"[Ref: #/pages/' || page_no || ']"},{"type":"image_url","image_url":{"url":"data:image/png;base64,' || to_base64(encode(text)) || '"}}', ',' ORDER BY page_no) || ',{"type":"text","text":"End."}]') AS content FROM x WHERE doc_id % 5 > 0 GROUP BY 1""")
+def q178_page_payload(spark, d):
+    shown = (F.col("conv_id") % 5 > 0) & ((F.col("turn") % 3 > 0) | (F.col("conv_id") % 4 == 0))
+    x = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.when(shown, F.col("text").cast("binary")).alias("content"))
+    p = D.page_payload(x, "End.")
+    return p.select("doc_id", "images_sent", F.md5("content").alias("content"))
+
+
+# Rules that a strict reader takes or not (SRC11, R19).
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'missing title,missing analyser_id' WHEN 2 THEN 'type ac_code,type is_legacy' WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'value severity_weight' ELSE '' END WHEN 4 THEN 'value course,value backend' WHEN 5 THEN 'unknown extra,unknown other' WHEN 6 THEN 'type severity_weight' ELSE 'no object' END AS errors FROM part""")
+def q179_rule_errors(spark, d):
+    s = F.col("p_size")
+    base = '"title": "t", "ac_code": "C", "prompt_instruction": "p", "analyser_id": "a"'
+    signed = F.concat(F.lit("{" + base + ', "severity_weight": '), F.when(s % 2 == 0, F.concat(F.lit("-"), (s + 1).cast("string"))).otherwise(s.cast("string")), F.lit(".5}"))
+    texts = [
+        F.lit("{" + base + ', "course": null, "language": "en", "requires_pages": true}'), F.lit('{"ac_code": "C", "prompt_instruction": "p", "title": null}'), F.lit('{"title": "t", "ac_code": 7, "prompt_instruction": "p", "analyser_id": "a", "is_legacy": "no"}'), signed,
+        F.lit("{" + base + ', "course": "xyz", "backend": "magic"}'), F.lit("{" + base + ', "other": 1, "extra": {}}'), F.lit("{" + base + ', "severity_weight": "1"}'), F.lit("[1]"), F.lit("{broken"),
+    ]
+    return table(spark, d, "part").select("p_partkey", F.array_join(D.rule_errors(F.get(F.array(*texts), (F.col("p_partkey") % 9).cast("int"))), ",").alias("errors"))
