@@ -16,6 +16,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Paths of this session's tables in the shared folder.
+_SCRATCH: list[str] = []
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by Spark's own reader (the path may be in any store)."""
     small_batches(spark)
@@ -42,11 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables written so far, which results that are still to be computed would read: for long sessions, between jobs."""
+    while _SCRATCH:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later stages start from these files.
 

@@ -797,3 +797,15 @@ def test_license_forms(spark):
 def test_license_phrases():
     assert license_digests.canonical("sub-license, sub licence: non-commercial per cent whilst") == "sublicense sublicense noncommercial percent while"
     assert license_digests.canonical("Copyright Owner copyright owner".lower()) == "copyright holder copyright holder"
+
+
+def test_release(spark):
+    from assaya.llm import common
+
+    common.release(spark)
+    kept = common.written(spark.range(3), "x")
+    path = common._SCRATCH[-1]
+    assert kept.count() == 3 and len(common._SCRATCH) == 1
+    common.release(spark)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not common._SCRATCH and not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
