@@ -337,8 +337,9 @@ def similar_documents(docs: DataFrame, least: float = SIMILAR, shingle: int = SI
 
     # The sets themselves, of documents that have candidates.
     sizes = groups.join(known.select("v", "key", "n", *FPS), "v")
-    total_of = sizes.groupBy("component").agg(F.sum("n").alias("shingles"))
-    wanted = written(sizes.join(total_of, "component").select(F.col("v").alias("doc_id"), "key", "component", "shingles", *FPS), "similar-wanted")
+    parts = F.greatest(F.sum("n") / F.lit(TILE_SHINGLES), F.count(F.lit(1)) / F.lit(TILE))
+    total_of = sizes.groupBy("component").agg(F.ceil(parts).cast("int").alias("parts"))
+    wanted = written(sizes.join(total_of, "component").select(F.col("v").alias("doc_id"), "key", "component", "parts", *FPS), "similar-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,8 +349,8 @@ def similar_documents(docs: DataFrame, least: float = SIMILAR, shingle: int = SI
             done = batch.drop_columns(["text"]).append_column("hashes", pa.array([x.astype(np.int64) for x in hashes], pa.list_(pa.int64())))
             yield done.filter(keep)
 
-    held = texts.join(wanted, "doc_id").mapInArrow(sets, f"doc_id long, key long, component long, shingles long, {wide}, hashes array<long>").dropDuplicates(["doc_id", "key"])
-    dealt = in_pairs_of_tiles(held, F.ceil(F.col("shingles") / F.lit(TILE_SHINGLES)).cast("int"), F.xxhash64("doc_id", "key"))
+    held = texts.join(wanted, "doc_id").mapInArrow(sets, f"doc_id long, key long, component long, parts int, {wide}, hashes array<long>").dropDuplicates(["doc_id", "key"])
+    dealt = in_pairs_of_tiles(held, F.col("parts"), F.xxhash64("doc_id", "key"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "key"])
