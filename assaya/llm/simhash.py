@@ -96,9 +96,12 @@ def links(cell: np.ndarray, own: np.ndarray, fps: np.ndarray, radius: int = RADI
 
     Rows are sorted by cell and then by whole bit count; ``fps`` has a row of 64-bit
     words for each. ``own`` is the tile of a row, -1 where a cell is compared as a
-    whole; rows of one tile aren't compared.
+    whole; rows of one tile aren't compared. A cell whose rows are all connected
+    already is compared no further.
     """
     fps = fps.reshape(len(cell), -1)
+    new_cell = np.concatenate([[True], cell[1:] != cell[:-1]])
+    starts, number = np.flatnonzero(new_cell), np.cumsum(new_cell) - 1
     count = np.bitwise_count(fps).astype(np.int64).sum(1)
     parent = np.arange(len(fps))
     out: list[tuple[int, int]] = []
@@ -125,6 +128,10 @@ def links(cell: np.ndarray, own: np.ndarray, fps: np.ndarray, radius: int = RADI
                 out.append((x, y))
         gap += 1
         i = i[i + gap < len(fps)]
+        if gap & (gap - 1) == 0 and len(i):
+            label = roots(np.arange(len(fps)))
+            whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+            i = i[~whole[number[i]]]
     return np.array(out, np.int64).reshape(-1, 2)
 
 
