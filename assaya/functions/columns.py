@@ -89,10 +89,10 @@ def score_pct(points: Column, maximum: Column) -> Column:
     return F.try_divide(points, F.when(maximum > 0, maximum)) * 100
 
 
-def keywords(text: Column, stop: list[str] | None = None) -> Column:
-    """Lower-cased words of three letters or more without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(stop or V.STOP_WORDS))
+def keyword_rows(df: DataFrame, keep: list[str], text: str, name: str = "keyword", stop: list[str] | None = None) -> DataFrame:
+    """A row for each lower-cased word of three letters or more that is no stop word (X7): words are exploded first, so that the filter is compiled."""
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    return df.select(*keep, words.alias(name)).filter(~F.col(name).isin(stop or V.STOP_WORDS))
 
 
 def dot(a: Column, b: Column) -> Column:
