@@ -135,6 +135,35 @@ def links(cell: np.ndarray, own: np.ndarray, fps: np.ndarray, radius: int = RADI
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def stars(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each id to the smallest it is connected to, for a forest of ``pairs`` of places: forests of one group in several cells then have the same few edges."""
+    places, flat = np.unique(pairs, return_inverse=True)
+    ends, parent = flat.reshape(-1, 2), np.arange(len(places))
+    own = np.asarray(ids)[places]
+    for x, y in ends.tolist():
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        if own[y] < own[x]:
+            x, y = y, x
+        parent[y] = x
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    apart = own != own[parent]
+    return own[apart].astype(np.int64), own[parent][apart].astype(np.int64)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """As few edges as connect the same: one from each id to its smallest neighbour, and from its other neighbours to that one.
+
+    ``edges`` go to the centres of stars, of which an id has at most one for each task that compared it.
+    """
+    near = edges.groupBy("a").agg(F.collect_set("b").alias("bs")).select("a", "bs", F.array_min("bs").alias("b"))
+    others = near.filter(F.size("bs") > 1).select(F.explode(F.array_remove("bs", F.col("b"))).alias("a"), "b")
+    return near.select("a", "b").unionByName(others).distinct()
+
+
 def in_pairs_of_tiles(rows: DataFrame, tiles: Column, by: Column) -> DataFrame:
     """``rows`` of a group dealt into ``tiles`` tiles and once to each pair of tiles (t1, t2) with theirs; ``own`` is -1 in (t, t), else the row's tile."""
     names = rows.columns
@@ -169,10 +198,11 @@ def linked_in_cells(laid: DataFrame, words: list[str], radius: int) -> DataFrame
             cut = n if batch is None else int(np.flatnonzero(new)[-1])  # a cell may go on in the next batch
             if cut:
                 pairs = links(np.cumsum(new)[:cut], rest["own"][:cut], np.stack([rest[w][:cut].astype(np.uint64) for w in words], 1), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(rest["v"][pairs[:, 0]]), pa.array(rest["v"][pairs[:, 1]])], names=["a", "b"])
+                a, b = stars(rest["v"][:cut], pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             rest = {c: x[cut:] for c, x in rest.items()}
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return contracted(dealt.mapInArrow(compare, "a long, b long"))
 
 
 def linked(points: DataFrame, radius: int = RADIUS, bands: int | None = None) -> DataFrame:
@@ -344,7 +374,7 @@ def similar_documents(docs: DataFrame, least: float = SIMILAR, shingle: int = SI
 
     # The sets themselves, of documents that have candidates.
     sizes = groups.join(known.select("v", "key", "n", *FPS), "v")
-    parts = F.greatest(F.sum("n") / F.lit(TILE_SHINGLES), F.count(F.lit(1)) / F.lit(TILE))
+    parts = F.greatest(F.sum("n") / F.lit(TILE_SHINGLES), F.count(F.lit(1)) / F.lit(TILE // 2))
     total_of = sizes.groupBy("component").agg(F.ceil(parts).cast("int").alias("parts"))
     wanted = written(sizes.join(total_of, "component").select(F.col("v").alias("doc_id"), "key", "component", "parts", *FPS), "similar-wanted")
 
@@ -362,11 +392,10 @@ def similar_documents(docs: DataFrame, least: float = SIMILAR, shingle: int = SI
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "key"])
         found = verified([np.asarray(x, np.int64).astype(np.uint64) for x in pdf["hashes"]], pdf[FPS].to_numpy().astype(np.uint64), pdf["own"].to_numpy(), least)
-        ids = pdf["doc_id"].to_numpy()
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+        a, b = stars(pdf["doc_id"].to_numpy(), np.array(found, np.int64).reshape(-1, 2))
+        return pd.DataFrame({"a": a, "b": b})
 
-    links_ = written(dealt.groupBy("component", "t1", "t2").applyInPandas(verify, "a long, b long"), "similar-links")
-    found = components(links_)
+    found = components(contracted(dealt.groupBy("component", "t1", "t2").applyInPandas(verify, "a long, b long")))
     names = points.join(found, "v", "left").select(*same, "held", F.coalesce("component", "v").alias("component_id"))
     return join_groups(rows.select("doc_id", *same), names, same, "held", total).select("doc_id", "component_id")
 
