@@ -52,9 +52,10 @@ def structure(tables: Tables, rules: DataFrame, params: dict) -> DataFrame:
 @analyser("grammar_analyser")
 def grammar(tables: Tables, rules: DataFrame, params: dict) -> DataFrame:
     """A local checker's issues, or a model's answers."""
-    own = U.grammar_rules(rules.filter(F.col("course").isNull() | F.col("course").eqNullSafe(F.lit(params.get("course")))).withColumns({"language": F.lit(params.get("language")), "config": F.lit(0)}), "config")
-    off = params.get("disabled_codes") or []
+    course, language, off = params.get("course"), params.get("language"), params.get("disabled_codes") or []
+    own = rules.filter((F.col("course").isNull() | F.col("course").eqNullSafe(F.lit(course))) & (F.col("language").isNull() | F.col("language").eqNullSafe(F.lit(language))))
     own = own.filter(~F.col("ac_code").isin(*off)) if off else own
+    own = U.grammar_rules(own.withColumns({"language": F.lit(language).cast("string"), "config": F.lit(0)}), "config")
     if params.get("grammar_engine", "local") == "local":
         return Y.grammar(tables["items"], tables["issues"], titles_of(own), params.get("language") or "en")
     return Y.model_findings(tables["grammar_answers"], own, tables["items"], "grammar_analyser", model=params.get("model"))

@@ -249,3 +249,26 @@ def test_percentiles_and_shares(spark):
         assert all(abs(shares[k, v] - (own <= v).mean()) < 1e-12 for v in own)
     assert "none" not in got
     assert list(A.percentiles(df.filter("k = 'one'"), [], F.col("v"), [0.5]).first()["q"]) == [3.0]
+
+
+def test_registered_analysers(spark):
+    """All analysers over small tables, by one rulebook; engines that are off leave their findings out."""
+    long = "word " * 12 + "teh end"
+    items = spark.createDataFrame([("d", 1, "#/texts/0", "heading", "body", 1, "Head", 3, "Head"), ("d", 2, "#/texts/1", "text", "body", None, long, 3, "Head"), ("d", 3, "#/texts/2", "heading", "body", 1, "Last", 1, "Last")], "doc_id string, seq long, cref string, kind string, label string, level int, text string, page_no int, section_path string")
+    answer = "doc_id string, seq long, code string, cref string, reason string, snippet string, severity double, confidence double, model_name string, raw_response string"
+    answers = lambda code: spark.createDataFrame([("d", 1, code, "#/texts/1", "so", "teh", 0.5, 0.5, "m", "raw")], answer)
+    tables = {
+        "items": items, "counts": spark.createDataFrame([("d", 15, 70, 1)], "doc_id string, words int, chars int, blocks int"), "lines": T.markdown_lines(spark.createDataFrame([("d", "a snake_name ")], "doc_id string, text string")),
+        "issues": spark.createDataFrame([("d", "Head", 65, 3, "misspelling", ["the"])], "doc_id string, section_path string, offset int, length int, issue_type string, replacements array<string>"),
+        "grammar_answers": answers("CH"), "integrity_answers": answers("COPY"), "content_answers": answers("FIL0"), "asset_answers": answers("BADUML"),
+        "pictures": spark.createDataFrame([("d", 0, 0, False, False, 0)], "doc_id string, n_pages int, pictures int, md_images boolean, has_client boolean, images_sent int"),
+    }
+    rules = spark.createDataFrame([(c, f"T {c}", a, None, lang) for c, a, lang in (("CONSEC_HEADINGS", "structure_analyser", None), ("SHORT", "structure_analyser", None), ("CH", "content_analyser", None), ("SPELLING", "grammar_analyser", "cs"), ("COPY", "integrity_analyser", None), ("FILO", "content_analyser", None), ("UML_BAD", "asset_analyser", None), ("UML_MISSING", "asset_analyser", None), ("TYPESET", "asset_analyser", None))], "ac_code string, title string, analyser_id string, course string, language string")
+    names = ["structure_analyser", "grammar_analyser", "integrity_analyser", "content_analyser", "asset_analyser"]
+    configs = [{"analyser_id": n, "params": {"language": "en", "copy_engine": "llm"}} for n in names]
+    found, errors = assessment.analyse(tables, rules, configs)
+    assert not errors
+    got = {(r.place, r.finding_id, r.snippet) for r in found.collect()}
+    assert got == {(0, "STRUCTURE_ANALYSER:CONSEC_HEADINGS-1", "Last"), (0, "STRUCTURE_ANALYSER:SHORT-1", None), (1, "GRAMMAR_ANALYSER:CH-1", "teh"), (2, "INTEGRITY_ANALYSER:COPY-1", "teh"), (3, "CONTENT_ANALYSER:FILO-1", "teh"), (4, "ASSET_ANALYSER:TYPESET-1", None), (4, "ASSET_ANALYSER:UML_MISSING-1", None), (4, "ASSET_ANALYSER:UML_BAD-1", long)}
+    llm = assessment.analyse(tables, rules, [{"analyser_id": "grammar_analyser", "params": {"language": "en", "grammar_engine": "llm"}}, {"analyser_id": "integrity_analyser", "params": {}}])[0]
+    assert {r.finding_id for r in llm.collect()} == {"GRAMMAR_ANALYSER:CH-1"}
