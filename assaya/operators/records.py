@@ -68,7 +68,9 @@ def run_summary(docs: DataFrame, usage: DataFrame, times: DataFrame, run: dict[s
     tracked = times.agg(F.round(F.sum("seconds"), 4).alias("total_tracked_seconds"), F.count(F.lit(1)).alias("total_stage_invocations"))
     staged = stages.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("calls", "total_seconds", "avg_seconds", "min_seconds", "max_seconds").alias("s"))))).alias("by_stage"))
     counts = docs.agg(F.count(F.lit(1)).alias("docs_total"), F.count_if("parsed_ok").alias("docs_parsed"), F.count_if(~F.col("parsed_ok")).alias("docs_failed_parse"), F.round(F.sum("elapsed_seconds"), 4).alias("elapsed_seconds"))
-    one = counts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(staged)).crossJoin(F.broadcast(tracked))  # one row each
+    one = counts
+    for row in (total, staged, tracked):  # one row each
+        one = one.join(F.broadcast(row), F.lit(True))
     record = F.struct(
         F.struct(F.lit(run["run_id"]).alias("run_id"), F.lit(run["config_hash"]).alias("config_hash")).alias("run"), F.struct("docs_total", "docs_parsed", "docs_failed_parse").alias("counts"),
         F.struct("by_stage", "total_tracked_seconds", "total_stage_invocations").alias("stage_times"), F.struct("total_prompt_tokens", "total_completion_tokens", "total_cached_tokens", "total_cost_eur", "costs_by_model_eur").alias("usage"), "elapsed_seconds",
