@@ -96,7 +96,7 @@ def score(findings: DataFrame, rules: DataFrame, code: str, max_points: Column |
 def csv_rows(findings: DataFrame, doc: str, max_points: float) -> DataFrame:
     """Each finding with its document's points (SNK3)."""
     total = F.coalesce(F.sum("impact").over(Window.partitionBy(doc)), F.lit(0.0))
-    return findings.withColumn("doc_points", F.round(F.lit(max_points) + total, 2))
+    return findings.withColumn("doc_points", C.rounded(F.lit(max_points) + total, 2))
 
 
 def grader_rows(findings: DataFrame, doc: str, seq: str, label: Column) -> DataFrame:

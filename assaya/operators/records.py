@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaya import fixed_values as V
+from assaya.functions import columns as C
 
 
 def export_rows(findings: DataFrame, max_points: Column | None, doc: str = "doc_id", path: str = "path") -> DataFrame:
@@ -14,7 +15,7 @@ def export_rows(findings: DataFrame, max_points: Column | None, doc: str = "doc_
     name = F.element_at(F.split(path, "/"), -1)
     suffix = F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)
     total = F.coalesce(F.sum("impact").over(Window.partitionBy(doc)), F.lit(0.0))
-    points = F.lit(None).cast("double") if max_points is None else F.round(max_points + total, 2)
+    points = F.lit(None).cast("double") if max_points is None else C.rounded(max_points + total, 2)
     none = {c: F.lit(None).cast("string") for c in ("year", "task_variant", "impact_source")}
     own = {
         "id": F.col(doc).cast("string"), "code": F.col("ac_code"), "impact_has_sign": F.lit(False), "impact_shared": F.lit(False), "comment": F.col("summary"), "raw_text": F.col("summary"), "source_file": name,

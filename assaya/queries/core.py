@@ -48,11 +48,11 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 @query(f"""WITH {RULES_SQL}, {F_SQL}
-SELECT user_id, count(*) AS n_findings, count(weight) AS n_rated, round(400.0 + coalesce(sum({IMPACT_SQL}), 0), 2) AS doc_points
+SELECT user_id, count(*) AS n_findings, count(weight) AS n_rated, round(CAST(400.0 + coalesce(sum({IMPACT_SQL}), 0) AS DECIMAL(24, 9)), 2)::DOUBLE AS doc_points
 FROM f LEFT JOIN rules ON event_type = ac_code GROUP BY user_id""")
 def q01_score_findings(spark, d):
     scored = O.score(found(spark, d), rules(spark), "event_type", F.lit(MAX_POINTS))
-    return scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count("severity_weight").alias("n_rated"), F.round(F.lit(MAX_POINTS) + F.coalesce(F.sum("impact"), F.lit(0.0)), 2).alias("doc_points"))
+    return scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count("severity_weight").alias("n_rated"), C.rounded(F.lit(MAX_POINTS) + F.coalesce(F.sum("impact"), F.lit(0.0)), 2).alias("doc_points"))
 
 
 # Part types play rules and customers configurations: each rule for the configurations it fits.

@@ -44,7 +44,7 @@ def q124_judge_audit(spark, d):
 # Findings in the 19 columns of the graders' events (SNK3).
 @query(f"""WITH {RULES_SQL}, {F_SQL}, s AS (SELECT f.*, {IMPACT_SQL} AS impact FROM f LEFT JOIN rules ON event_type = ac_code)
 SELECT CAST(user_id AS VARCHAR) AS id, NULL::VARCHAR AS year, NULL::VARCHAR AS task_variant, event_type AS code, impact, false AS impact_has_sign, NULL::VARCHAR AS impact_source, false AS impact_shared, 'S' || k AS comment, 'S' || k AS raw_text, 'u' || user_id || CASE user_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.md' ELSE '' END AS source_file,
-round(400.0 + coalesce(sum(impact) OVER (PARTITION BY user_id), 0), 2)::DOUBLE AS doc_points, CASE user_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' END AS doc_type, NULL::DOUBLE AS bonus_points, round(k / 99.0::DOUBLE, 6) AS severity, 0.5::DOUBLE AS confidence, 'to_be_judged' AS judge_status, 'proposed' AS human_status, CAST(event_id AS VARCHAR) AS finding_id FROM s""")
+round(CAST(400.0 + coalesce(sum(impact) OVER (PARTITION BY user_id), 0) AS DECIMAL(24, 9)), 2)::DOUBLE AS doc_points, CASE user_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' END AS doc_type, NULL::DOUBLE AS bonus_points, round(k / 99.0::DOUBLE, 6) AS severity, 0.5::DOUBLE AS confidence, 'to_be_judged' AS judge_status, 'proposed' AS human_status, CAST(event_id AS VARCHAR) AS finding_id FROM s""")
 def q125_export_rows(spark, d):
     s = O.score(found(spark, d), rules(spark), "event_type", F.lit(MAX_POINTS))
     suffix = pick((".PDF", ".md", ""), F.col("user_id") % 3)

@@ -161,7 +161,7 @@ def q46_shared_vs_individual(spark, d):
 
 
 @query(f"""WITH {RULES_SQL}, {F_SQL}, s AS (SELECT event_type AS code, event_id % 3 <> 0 AS incl, k / 99.0::DOUBLE AS sev, weight, {IMPACT_SQL} AS impact FROM f LEFT JOIN rules ON event_type = ac_code)
-SELECT code, count(*) FILTER (WHERE incl) AS included, count(*) AS total, round(sum(CASE WHEN incl THEN abs(impact) END), 2) AS lost,
+SELECT code, count(*) FILTER (WHERE incl) AS included, count(*) AS total, round(CAST(sum(CASE WHEN incl THEN abs(impact) END) AS DECIMAL(24, 9)), 2)::DOUBLE AS lost,
 round(least(1.0, sum(CASE WHEN incl THEN abs(impact) END) / nullif(CASE WHEN max(weight) > 0 THEN max(weight) * 400.0 ELSE max(CASE WHEN sev > 0 THEN abs(impact) / sev END) END, 0)), 4) AS normalised,
 CASE WHEN avg(sev) >= 0.85 THEN 'very_high' WHEN avg(sev) >= 0.7 THEN 'high' WHEN avg(sev) >= 0.5 THEN 'medium' WHEN avg(sev) >= 0.3 THEN 'low' ELSE 'very_low' END AS band FROM s GROUP BY 1""")
 def q47_ui_summary(spark, d):
@@ -170,7 +170,7 @@ def q47_ui_summary(spark, d):
     most = F.nullif(F.when(F.max("severity_weight") > 0, F.max("severity_weight") * 400.0).otherwise(F.max(F.when(F.col("severity") > 0, F.abs("impact") / F.col("severity")))), F.lit(0.0))
     # A share that isn't known is null, although least() passes nulls over.
     share = F.when(F.try_divide(lost, most).isNotNull(), F.least(F.lit(1.0), F.try_divide(lost, most))).otherwise(F.lit(1.0))
-    return s.groupBy(F.col("event_type").alias("code")).agg(F.count_if("incl").alias("included"), F.count(F.lit(1)).alias("total"), F.round(lost, 2).alias("lost"), F.round(share, 4).alias("normalised"), C.confidence_band(F.avg("severity")).alias("band"))
+    return s.groupBy(F.col("event_type").alias("code")).agg(F.count_if("incl").alias("included"), F.count(F.lit(1)).alias("total"), C.rounded(lost, 2).alias("lost"), F.round(share, 4).alias("normalised"), C.confidence_band(F.avg("severity")).alias("band"))
 
 
 @query("""WITH x AS (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS a, CASE WHEN c_nationkey > 3 THEN c_nationkey::VARCHAR END AS b FROM customer)
@@ -214,7 +214,7 @@ def q51_span_events(spark, d):
     return files.explode_events(rows).groupBy("code", "impact_source", "impact_shared").agg(F.count(F.lit(1)).alias("n"), F.sum("impact").cast("double").alias("impact"))
 
 
-@query(f"""WITH {RULES_SQL}, {F_SQL} SELECT event_id, user_id, {IMPACT_SQL} AS impact, round(400.0 + coalesce(sum({IMPACT_SQL}) OVER (PARTITION BY user_id), 0), 2) AS doc_points FROM f LEFT JOIN rules ON event_type = ac_code""")
+@query(f"""WITH {RULES_SQL}, {F_SQL} SELECT event_id, user_id, {IMPACT_SQL} AS impact, round(CAST(400.0 + coalesce(sum({IMPACT_SQL}) OVER (PARTITION BY user_id), 0) AS DECIMAL(24, 9)), 2)::DOUBLE AS doc_points FROM f LEFT JOIN rules ON event_type = ac_code""")
 def q52_csv_rows(spark, d):
     return O.csv_rows(O.score(found(spark, d), rules(spark), "event_type", F.lit(400.0)), "user_id", 400.0).select("event_id", "user_id", "impact", "doc_points")
 

@@ -284,12 +284,12 @@ def q93_metric_boxes(spark, d):
 
 
 @query(f"""WITH {RULES_SQL}, {F_SQL}, i AS (SELECT event_id, user_id, {IMPACT_SQL} AS impact, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS wanted FROM f LEFT JOIN rules ON event_type = ac_code)
-SELECT user_id, count(*) FILTER (WHERE coalesce(wanted, true)) AS n_included, round(400.0 + coalesce(sum(CASE WHEN coalesce(wanted, true) THEN impact END), 0), 2) AS points FROM i GROUP BY 1""")
+SELECT user_id, count(*) FILTER (WHERE coalesce(wanted, true)) AS n_included, round(CAST(400.0 + coalesce(sum(CASE WHEN coalesce(wanted, true) THEN impact END), 0) AS DECIMAL(24, 9)), 2)::DOUBLE AS points FROM i GROUP BY 1""")
 def q94_include_state(spark, d):
     """Points from the findings that a reader left in."""
     state = found(spark, d).filter("event_id % 4 = 0").select("event_id", (F.col("event_id") % 8 == 0).alias("wanted"))
     i = O.score(found(spark, d), rules(spark), "event_type", F.lit(400.0)).join(state, "event_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(True)))
-    return i.groupBy("user_id").agg(F.count_if("wanted").alias("n_included"), F.round(F.lit(400.0) + F.coalesce(F.sum(F.when(F.col("wanted"), F.col("impact"))), F.lit(0.0)), 2).alias("points"))
+    return i.groupBy("user_id").agg(F.count_if("wanted").alias("n_included"), C.rounded(F.lit(400.0) + F.coalesce(F.sum(F.when(F.col("wanted"), F.col("impact"))), F.lit(0.0)), 2).alias("points"))
 
 
 @query("""WITH s AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?]+[.!?]*'))) AS t FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(t)) AS longest FROM s WHERE t <> '' GROUP BY 1""")
