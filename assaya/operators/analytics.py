@@ -1,4 +1,4 @@
-"""Grouped analytics over events and projects."""
+"""Grouped analytics over events and projects: first values, percentiles, shares, statistics, correlations, histograms, quartiles, first rows."""
 
 from __future__ import annotations
 
@@ -123,7 +123,7 @@ def phi(df: DataFrame, unit: str, code: str) -> DataFrame:
     pairs = own.select(F.explode("codes").alias("code_a"), "codes").select("code_a", F.explode("codes").alias("code_b")).filter("code_a < code_b")
     both = pairs.groupBy("code_a", "code_b").agg(F.count(F.lit(1)).alias("both"))
     a, b = sizes.select(F.col(code).alias("code_a"), F.col("size").alias("a")), sizes.select(F.col(code).alias("code_b"), F.col("size").alias("b"))
-    joined = both.join(F.broadcast(a), "code_a").join(F.broadcast(b), "code_b").join(F.broadcast(n), F.lit(True))
+    joined = both.join(a, "code_a").join(b, "code_b").join(F.broadcast(n), F.lit(True))  # n is one row
     top = F.col("n") * F.col("both").cast("double") - F.col("a").cast("double") * F.col("b")
     low = F.sqrt(F.col("a").cast("double") * F.col("b") * (F.col("n") - F.col("a")) * (F.col("n") - F.col("b")))
     return joined.select("code_a", "code_b", "both", F.round(F.try_divide(top, low), 6).alias("phi"))

@@ -1,4 +1,4 @@
-"""Agreement of two sets of codes for each unit."""
+"""Agreement of two sets of codes for each unit."""
 
 from __future__ import annotations
 

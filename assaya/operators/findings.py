@@ -1,4 +1,4 @@
-"""Findings: rule selection, judge verdicts, rule engine, scoring, exports (F4-F9, G1-G4, W7, W8, SNK3, SNK4, A35)."""
+"""Findings: rule selection, judge verdicts with their audit, rule engine, scoring, exports (F4, F9, G1-G4, J3, J4, W7, W8, W10, SNK4)."""
 
 from __future__ import annotations
 

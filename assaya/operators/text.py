@@ -1,4 +1,4 @@
-"""Documents as ordered items: Markdown walk, headings, offsets, overlap with a source."""
+"""Documents as ordered items: Markdown lines and items, counters, headings, section paths, offsets, words shared with a source."""
 
 from __future__ import annotations
 

@@ -55,7 +55,7 @@ def q01_score_findings(spark, d):
     return scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count("severity_weight").alias("n_rated"), C.rounded(F.lit(MAX_POINTS) + F.coalesce(F.sum("impact"), F.lit(0.0)), 2).alias("doc_points"))
 
 
-# Part types play rules and customers configurations: each rule for the configurations it fits.
+# Parts play rules and nations configurations: each rule for the configurations it fits.
 @query("""WITH r AS (SELECT 'R' || p_partkey AS ac_code, CASE p_partkey % 3 WHEN 0 THEN 'content' WHEN 1 THEN 'grammar' ELSE 'asset' END AS analyser_id, CASE p_size % 3 WHEN 0 THEN 'ipp' WHEN 1 THEN 'ifj' END AS course, CASE p_size % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'cs' END AS language FROM part),
 c AS (SELECT n_nationkey AS config_id, CASE n_nationkey % 2 WHEN 0 THEN 'content' ELSE 'grammar' END AS analyser_id, CASE n_nationkey % 3 WHEN 0 THEN 'ipp' WHEN 1 THEN 'ifj' END AS course, CASE n_nationkey % 5 WHEN 0 THEN 'en' ELSE 'cs' END AS language, 'R' || n_nationkey * 3 AS disabled FROM nation)
 SELECT config_id, ac_code FROM r JOIN c ON r.analyser_id = c.analyser_id AND (r.course IS NULL OR r.course = c.course) AND (r.language IS NULL OR r.language = c.language) AND ac_code <> disabled""")

@@ -1,4 +1,4 @@
-r"""Queries q112-q124: documents to items and findings, each with its SQL twin. Markdown is made from the documents' texts."""
+r"""Queries q112-q123: documents to items and findings, each with its SQL twin. Markdown is made from the documents' texts."""
 
 from __future__ import annotations
 

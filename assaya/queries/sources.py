@@ -1,4 +1,4 @@
-r"""Queries q140-q156: sources and sinks by round trips through written files, each with its SQL twin."""
+r"""Queries q140-q155: sources and sinks by round trips through written files, each with its SQL twin."""
 
 from __future__ import annotations
 
