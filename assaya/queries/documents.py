@@ -9,6 +9,7 @@ from assaya.operators import analysers as Y
 from assaya.operators import text as T
 from assaya.queries.core import query, table
 from assaya.queries.more import _EVIDENCE_SQL, CONFIDENCE_SQL, LIMITS, evidence, similarities
+from assaya.sources.scratch import spread
 
 NL = "chr(10)"
 #: Markdown in the words of both dialects: headings, underlined ones, lists, code, pictures, identifiers, brackets, tabs, blanks at ends.
@@ -38,7 +39,7 @@ items AS (SELECT *, '#/' || CASE kind WHEN 'picture' THEN 'pictures' WHEN 'table
 
 
 def markdown(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.expr(MD).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.expr(MD).alias("text"))
 
 
 # Items with their section paths (SRC3, T13, W3).

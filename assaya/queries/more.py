@@ -13,13 +13,14 @@ from assaya.operators import text as T
 from assaya.operators import training as R
 from assaya.queries.core import _CODES, F_SQL, IMPACT_SQL, RULES_SQL, UNIT_SQL, found, q13_set_agreement, q14_stage_survival, query, rules, table, user_hours
 from assaya.sources import files
+from assaya.sources.scratch import spread
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark),
 x AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)), y AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 7), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS k FROM b))
 SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (g) GROUP BY 1, 2""")
 def q32_spec_overlap_text(spark, d):
-    return T.shared_shingles(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
+    return T.shared_shingles(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 # Vectors of label 0 are the specification, each other label is a document; even ids are chunks, odd ones sentences, four ids share a place.

@@ -1,11 +1,11 @@
-"""A folder for tables that are written and read again in one run."""
+"""A folder for tables that are written and read again in one run, and small tables dealt over all cores."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """Rows of a table of under ``least`` bytes a core dealt over all cores, as one task reads a file of one row group; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < least * cores else df
