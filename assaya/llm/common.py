@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaya.sources.scratch import spread
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,9 +23,9 @@ _SCRATCH: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, by Spark's own reader (the path may be in any store)."""
+    """One input table, by Spark's own reader (the path may be in any store); one that is small is dealt over all cores."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession) -> None:
