@@ -249,8 +249,9 @@ def chunks(items: DataFrame, most: int, doc: str = "doc_id") -> DataFrame:
 
 def keyword_codes(df: DataFrame, code: str, text: str, n: int, most: int = 3) -> DataFrame:
     """The ``n`` most frequent words of comments with the ``most`` codes that have them most often."""
-    pairs = C.keyword_rows(df, [code], text).groupBy("keyword", code).agg(F.count(F.lit(1)).alias("n"))
-    top = pairs.groupBy("keyword").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "keyword").limit(n)
+    words = C.keyword_rows(df, [code], text)
+    top = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "keyword").limit(n)
+    pairs = words.join(F.broadcast(top.select("keyword")), "keyword").groupBy("keyword", code).agg(F.count(F.lit(1)).alias("n"))  # n rows are broadcast
     best = A.top_by(pairs, ["keyword"], [F.desc("n"), F.col(code)], most)
     names = best.groupBy("keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(code).alias("c")))), lambda x: x["c"]), ", ").alias("top_codes"))
     return top.join(names, "keyword", "left")

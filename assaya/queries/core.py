@@ -303,9 +303,10 @@ n AS (SELECT word, source, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT wor
 s AS (SELECT word, source, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, source) AS pos FROM n JOIN t USING (word))
 SELECT word, CAST(any_value(total) AS BIGINT) AS total, string_agg(source, ', ' ORDER BY pos) AS top_sources FROM s JOIN t USING (word) WHERE pos <= 3 GROUP BY word""")
 def q26_keywords(spark, d):
-    n = C.keyword_rows(spread(table(spark, d, "documents").select("source", "text")), ["source"], "text", "word").groupBy("word", "source").agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(50)
-    ranked = A.top_by(n.join(F.broadcast(top), "word"), ["word"], [F.desc("n"), F.col("source")], 3)
+    words = C.keyword_rows(spread(table(spark, d, "documents").select("source", "text")), ["source"], "text", "word")
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "word").limit(50)
+    n = words.join(F.broadcast(top), "word").groupBy("word", "source", "total").agg(F.count(F.lit(1)).alias("n"))  # 50 rows are broadcast
+    ranked = A.top_by(n, ["word"], [F.desc("n"), F.col("source")], 3)
     return ranked.groupBy("word", "total").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]), ", ").alias("top_sources"))
 
 
