@@ -38,3 +38,19 @@ def test_against_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(core.QUERIES) == set(core.SQL)
+
+
+def test_perfect_ratio_adds_in_the_order_of_rows(spark, tmp_path):
+    """Totals of zero keep the sign that SQL on one thread gives them, although a shuffled join deals rows out in another order."""
+    c = duckdb.connect(config={"threads": 1})
+    c.execute("CREATE TABLE orders AS SELECT o AS o_orderkey, o % 500 AS o_custkey FROM range(2000) r(o)")
+    c.execute("CREATE TABLE lineitem AS SELECT 1999 - k AS l_orderkey, 5 AS l_linenumber, 'N' AS l_returnflag, [0.04, 0.02, 0.07, 0.07][k // 500 + 1]::DOUBLE AS l_discount FROM range(2000) r(k) ORDER BY k")
+    for name in ("orders", "lineitem"):
+        c.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tuple(core.QUERIES["q134_perfect_ratio"](spark, str(tmp_path)).first())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == c.execute(core.SQL["q134_perfect_ratio"]).fetchone() == (500, 500, 100.0)
