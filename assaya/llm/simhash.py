@@ -37,6 +37,8 @@ SEGMENTS, BANDS = 32, 6
 TILE = 2048
 #: Cells of more than a tile that are broadcast at most: 1 MB.
 BROADCAST_CELLS = 100_000
+#: Edges between what is not yet drawn together that one task joins: 160 kB.
+LAST_EDGES = 10_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -219,30 +221,54 @@ def linked(points: DataFrame, radius: int = RADIUS, bands: int | None = None) ->
     return linked_in_cells(points.select("v", "fp").mapInArrow(lay_out, "cell long, v long, fp long"), ["fp"], radius)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def joined_here(edges: DataFrame) -> DataFrame:
+    """v and c, the smallest id that can be reached, for every end of a few edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([np.asarray(batch.column(c)) for c in ("a", "b")], 1) for batch in batches]
+        ids, flat = np.unique(np.concatenate(parts) if parts else np.zeros((0, 2), np.int64), return_inverse=True)
+        a, b = stars(ids, flat.reshape(-1, 2))
+        low = ids.copy()
+        low[np.searchsorted(ids, a)] = b
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(low.astype(np.int64))], names=["v", "c"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "v long, c long")
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """v and component, the smallest id that can be reached, for every end of an edge.
 
-    Each round gives an id the smallest label among its neighbours' and then that
-    label's own label, so chains shorten by more than half. Every round ends in a
-    written table; nothing but a count goes to the driver.
+    Each round draws an id together with the first of its neighbours and itself, in
+    the order of ids in the first round (edges mostly go to centres of small ids), then
+    in an order by hash, which no chain of ids can slow down. What is drawn together is
+    one id from then on, and edges inside it go, so the rounds shrink: all of them join
+    a small multiple of the edges. The last few edges are joined in one task. Then ids
+    take what their names became, round by round back. Every round ends in a written
+    table; nothing but a count goes to the driver.
     """
-    both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))), "components-edges")
-    ends = both.count()
-    label = written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("c"), F.count(F.lit(1)).alias("degree")), "components-labels")
-    total = label.count()
-    for _ in range(rounds):
-        # Labels travel to neighbours; what a label itself is labelled is a hop on. Ids of many edges and labels of many ids are no hot keys.
-        sent = join_groups(both, label.withColumnRenamed("v", "w"), ["w"], "degree", ends, "inner")
-        low = label.join(sent.groupBy("v").agg(F.min("c").alias("n")), "v").select("v", "degree", F.least("c", "n").alias("m"), F.col("c").alias("was"))
-        low = written(low, "components-low")
-        hop = low.groupBy("m").agg(F.count(F.lit(1)).alias("held")).join(label.select(F.col("v").alias("m"), F.col("c").alias("cc")), "m", "left")
-        hop = hop.select("m", "held", F.coalesce("cc", "m").alias("cc"))
-        fresh = written(join_groups(low, hop, ["m"], "held", total, "inner").select("v", "degree", F.least("m", "cc").alias("c"), "was"), "components-labels")
-        moved = fresh.filter("c <> was").limit(1).count()
-        label = fresh.drop("was")
-        if not moved:
-            return label.select("v", F.col("c").alias("component"))
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
+    left, steps = written(edges.select("a", "b"), "components-edges"), []
+    while (held := left.count()) > LAST_EDGES:
+        if len(steps) == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
+
+        def place(c: str, number: int = len(steps)) -> Column:
+            return F.struct((F.xxhash64(c, F.lit(number)) if number else F.col(c)).alias("at"), F.col(c).alias("id"))
+
+        both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
+        near = both.groupBy("v").agg(F.min(place("w")).alias("w"), F.count(F.lit(1)).alias("degree"))
+        step = written(near.select("v", F.least(place("v"), "w")["id"].alias("m"), "degree"), "components-step")
+        steps.append(step)
+        for end in ("a", "b"):  # ids of many edges are no hot keys
+            left = join_groups(left, step.select(F.col("v").alias(end), "m", "degree"), [end], "degree", held, "inner").drop(end, "degree").withColumnRenamed("m", end)
+        left = written(left.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-edges")
+    label = written(joined_here(left), "components-labels")
+    for step in reversed(steps):
+        hop = step.groupBy("m").agg(F.count(F.lit(1)).alias("held")).join(label.select(F.col("v").alias("m"), "c"), "m", "left").select("m", "held", F.coalesce("c", "m").alias("c"))
+        label = written(join_groups(step.select("v", "m"), hop, ["m"], "held", step.count(), "inner").select("v", "c"), "components-labels")
+    if not steps:
+        return label.select("v", F.col("c").alias("component"))
+    low = label.groupBy("c").agg(F.min("v").alias("component"), F.count(F.lit(1)).alias("held"))
+    return join_groups(label, low, ["c"], "held", label.count(), "inner").select("v", "component")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -306,6 +306,30 @@ def test_similar_documents(spark, monkeypatch, tiles):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
+def test_components_join_few_rows(spark, monkeypatch):
+    """Edges inside of what is already joined take no part in later rounds, and chains don't make many."""
+    rng = random.Random(5)
+    links = [(k + 1, k) for k in range(600)] + [(2000 + k, 2000 + rng.randrange(max(1, k - 9), k + 1)) for k in range(1, 400)] + [(5000 + rng.randrange(300), 5000 + rng.randrange(300)) for _ in range(600)]
+    monkeypatch.setattr(simhash, "LAST_EDGES", 0, raising=False)
+    read = []
+
+    def counted(rows, *rest, **named):
+        read.append(rows.count())
+        return join_groups(rows, *rest, **named)
+
+    monkeypatch.setattr(simhash, "join_groups", counted)
+    got = {r.v: r.component for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {v: v for link in links for v in link}
+    for _ in want:
+        before = dict(want)
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+        if before == want:
+            break
+    assert got == want
+    assert sum(read) < 8 * len(links)
+
+
 def test_components_of_stars(spark):
     """An id of many edges, and a component of many ids, are no key of one task."""
     edges = spark.createDataFrame([(5, k) for k in range(10, 700)] + [(1000 + k, 2000) for k in range(150)] + [(2000, 699)], "a long, b long")
